@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.operators import late_events, regular_grid, trailing
-from tidewell.operators.common import DAY_NS, attach_dimension, series_metrics
+from tidewell.operators import late_events, regular_grid, spikes, trailing
+from tidewell.operators.common import attach_dimension, series_metrics
 from tidewell.session import prepare
 from tidewell.sources.tables import table
 
@@ -32,7 +32,7 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 def p1_hourly(spark: SparkSession, sf: str) -> DataFrame:
     prepare(spark)
     out = late_events.combine(late_events.hourly(table(spark, sf, "input_log"), _series(spark, sf)))
-    total = F.when(F.abs("total") < 1e12, F.round("total", 3)).otherwise(F.col("total"))
+    total = F.when(F.abs("total") < 1e12, F.round("total", 5)).otherwise(F.col("total"))
     return out.select(F.col("key").alias("id"), F.col("period_ns").alias("hour_ns"), "n", total.alias("total"), "least", "most", "n_late")
 
 
@@ -62,10 +62,20 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 def p4_trailing(spark: SparkSession, sf: str) -> DataFrame:
     prepare(spark)
     out = trailing.trailing(trailing.daily_totals(table(spark, sf, "samples")))
-    tidy = [F.when(F.abs(c) < 1e12, F.round(c, 3)).otherwise(F.col(c)).alias(c) for c in ("t7", "t30", "avg7", "avg30")]
+    tidy = [F.when(F.abs(c) < 1e12, F.round(c, 5)).otherwise(F.col(c)).alias(c) for c in ("t7", "t30", "avg7", "avg30")]
     return out.select(F.col("key").alias("series_id"), _day("day").alias("day_utc"), *tidy)
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    prepare(spark)
+    return spikes.implausible(_of_kind(spark, sf, "gauge")).select(F.col("key").alias("series_id"), F.col("ts").alias("ts_ns"))
+
+
+def p5_flags(spark: SparkSession, sf: str) -> DataFrame:
+    prepare(spark)
+    return spikes.implausible(_of_kind(spark, sf, "gauge")).select(F.col("key").alias("series_id"), F.col("ts").alias("ts_ns"), "value", "impossible", "stuck", "spike")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_hourly": p1_hourly,
@@ -73,6 +83,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_grid": p3_grid,
     "p4_found": p4_found,
     "p4_trailing": p4_trailing,
+    "p5_found": p5_found,
+    "p5_flags": p5_flags,
 }
 
 _P1_POINTS = """
@@ -88,7 +100,7 @@ k AS (
   SELECT *, CASE WHEN arr < hour_ns // 1000 + 3600000000 THEN 0 WHEN arr <= hour_ns // 1000 + 3600000000 + cutoff_us THEN 1 ELSE 2 END AS lateness FROM j)
 """
 
-_TIDY = "CASE WHEN abs({0}) < 1e12 THEN round({0}, 3) ELSE {0} END AS {1}"
+_TIDY = "CASE WHEN abs({0}) < 1e12 THEN round({0}, 5) ELSE {0} END AS {1}"
 
 _DAILY = """
 WITH pts AS (SELECT DISTINCT s.series_id, ts_ns, value FROM samples s {join} WHERE s.series_id IS NOT NULL AND ts_ns IS NOT NULL AND value IS NOT NULL AND NOT isnan(value)),
