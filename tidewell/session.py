@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "tidewell", master: str | None = None, **conf: str) -> SparkSession:
@@ -40,3 +42,24 @@ def prepare(spark: SparkSession) -> SparkSession:
             shared = os.path.join(tempfile.gettempdir(), "tidewell-checkpoints")
         sc.setCheckpointDir(shared)
     return spark
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a table to the shared checkpoint folder and read it back: it cuts lineage and survives lost executors.
+
+    The table is removed when the Python process ends.
+    """
+    spark = prepare(df.sparkSession)
+    path = f"{spark.sparkContext.getCheckpointDir()}/tidewell-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_remove, spark, path)
+    return spark.read.parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # noqa: BLE001 - the session may be gone already, and then its folder is none of ours
+        pass
