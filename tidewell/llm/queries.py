@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import bpe, packing, percentiles
+from tidewell.llm import bpe, packing, percentiles, toxicity
 from tidewell.operators.common import DAY_NS, attach_dimension, floor_to, present
 from tidewell.session import materialize, prepare
 from tidewell.sources.tables import table
@@ -73,6 +73,24 @@ def p7_fill(spark: SparkSession, sf: str) -> DataFrame:
     return used.groupBy(F.floor(F.col("used") * 10 / CAPACITY).cast("int").alias("tenths")).agg(F.count("*").alias("containers"), F.sum("used").alias("tokens"))
 
 
+def _scored(spark: SparkSession, sf: str) -> DataFrame:
+    prepare(spark)
+    docs = table(spark, sf, "documents")
+    return toxicity.scores(docs, toxicity.train(docs, table(spark, sf, "review_samples")))
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _scored(spark, sf).filter(F.col("score") >= toxicity.THRESHOLD).select("doc_id")
+
+
+def p8_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return _scored(spark, sf)
+
+
+def p8_rates(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.rates(_scored(spark, sf))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_percentiles": p2_percentiles,
     "p2_from_days": p2_from_days,
@@ -80,6 +98,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_round_trip": p6_round_trip,
     "p7_packed": p7_packed,
     "p7_fill": p7_fill,
+    "p8_found": p8_found,
+    "p8_scores": p8_scores,
+    "p8_rates": p8_rates,
 }
 
 _VALUES = """
