@@ -22,14 +22,14 @@ def present(value: Column | str) -> Column:
     return c.isNotNull() & ~F.isnan(c)
 
 
-def attach_dimension(facts: DataFrame, dim: DataFrame, on: str, spread: Sequence[str], how: str = "inner", max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def attach_dimension(facts: DataFrame, dim: DataFrame, on: str, spread: Sequence[str], how: str = "inner", max_rows: int = BROADCAST_ROWS, rows: int | None = None) -> DataFrame:
     """Join a dimension that holds one row per key to facts in which one key may hold a third of all rows.
 
-    Up to ``max_rows`` rows, counted before, the dimension is broadcast. Beyond that both sides are
+    Up to ``max_rows`` rows, counted before (or known to be at most ``rows``), the dimension is broadcast. Beyond that both sides are
     shuffled with a salt: facts get one of ``SALTS`` salts by the hash of ``spread``, the dimension
     gets all of them, so that a hot key is spread over as many tasks.
     """
-    if dim.limit(max_rows + 1).count() <= max_rows:
+    if (dim.limit(max_rows + 1).count() if rows is None else rows) <= max_rows:
         return facts.join(F.broadcast(dim), on, how)
     salted = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     facts = facts.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
