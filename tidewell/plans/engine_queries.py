@@ -8,12 +8,18 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewell.functions.names import canonical
 from tidewell.operators import aggregate, meta
+from tidewell.operators.anomaly import anomalies
+from tidewell.operators.late_write import mark_late
 from tidewell.operators.select import matching_series
 from tidewell.plans.build import build, search, suggest
-from tidewell.plans.catalog import clicks
+from tidewell.plans.catalog import clicks, domain
 from tidewell.plans.spec import Range, parse
 from tidewell.session import prepare
+from tidewell.sinks.text import csv_lines, resp_frames
+from tidewell.sources.lines import parse_bulk, parse_put
+from tidewell.sources.tables import table
 
 FROM, TO = "20240105T000000", "20240125T000000"
 A, B = 1704412800000000000, 1706140800000000000
@@ -252,3 +258,72 @@ of_series(
     f"r AS (SELECT 'ev.value type=' || t AS series, ts_ns, value FROM s WHERE metric = 'ev.value' AND {FW}) SELECT series, CAST(count(*) AS DOUBLE) AS count, round(sum(value), 6) AS sum, round(avg(value), 6) AS mean, min(value) AS min, max(value) AS max, arg_min(value, (ts_ns, value)) AS first, arg_max(value, (ts_ns, value)) AS last, arg_min(ts_ns, (value, ts_ns)) AS min_ts, arg_max(ts_ns, (value, -ts_ns)) AS max_ts, min(ts_ns) AS first_ts, max(ts_ns) AS last_ts FROM r GROUP BY series",
 )
 of_series("posting_list_difference", lambda c: matching_series(c.series, parse({"select": "click", "range": FORWARD, "where": {"cohort": ["0", "1", "2"]}})).select("series").exceptAll(matching_series(c.series, parse({"select": "click", "range": FORWARD, "where": {"user": [str(u) for u in range(50)]}})).select("series")), _NAMES + " SELECT metric || ' ' || tags AS series FROM d WHERE metric = 'click' AND u % 4 IN (0, 1, 2) AND u >= 50")
+
+
+# queries over the project's own tables
+def of_tables(name: str, make: Callable[[SparkSession, str], DataFrame], sql: str | None) -> None:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        prepare(spark)
+        return make(spark, sf)
+
+    QUERIES[name] = run
+    if sql is not None:
+        ORACLE[name] = sql
+
+
+_RAW = {"from": 1232000000000000000, "to": 1234000000000000000}
+_DIM = "WITH d AS (SELECT series_id, min(series) AS series FROM series_dim WHERE series_id IS NOT NULL AND series IS NOT NULL GROUP BY 1), m AS (SELECT *, string_split(series, ' ')[1] AS metric FROM d)"
+of_tables(
+    "domain_group_agg",
+    lambda spark, sf: build(domain(spark, sf), {"group-aggregate": {"step": "1h", "metric": ["cpu.load", "sensor.temp"], "func": ["min", "max", "count"]}, "range": _RAW, "pivot-by-tag": ["site"]}),
+    _DIM + ", v AS (SELECT DISTINCT series_id, ts_ns, value FROM samples WHERE value IS NOT NULL AND NOT isnan(value) AND ts_ns >= 1232000000000000000 AND ts_ns < 1234000000000000000), r AS (SELECT metric, regexp_extract(series, ' site=([^ ]+)', 1) AS site, 1232000000000000000 + (ts_ns - 1232000000000000000) // 3600000000000 * 3600000000000 AS b, value FROM v JOIN m USING (series_id) WHERE metric IN ('cpu.load', 'sensor.temp')) SELECT metric || ':min|' || metric || ':max|' || metric || ':count site=' || site AS series, b AS ts_ns, min(value) AS min, max(value) AS max, CAST(count(*) AS DOUBLE) AS count FROM r WHERE site <> '' GROUP BY metric, site, b",
+)
+of_tables(
+    "domain_events_regex",
+    lambda spark, sf: build(domain(spark, sf), {"select-events": "!alarm", "range": {"from": 0, "to": 2000000000000000000}, "filter": "degraded|\"code\":2"}),
+    _DIM + ", v AS (SELECT DISTINCT series_id, ts_ns, body FROM series_events WHERE body IS NOT NULL) SELECT m.series, ts_ns, body FROM v JOIN m USING (series_id) WHERE metric = '!alarm' AND regexp_matches(body, 'degraded|\"code\":2')",
+)
+of_tables(
+    "names_canonical",
+    lambda spark, sf: table(spark, sf, "series_names").select("name_seq", canonical(F.col("name_raw")).alias("series")),
+    "WITH w AS (SELECT name_seq, string_split_regex(trim(replace(name_raw, '\\ ', chr(1)), ' '), ' +') AS x FROM series_names) SELECT name_seq, CASE WHEN len(x) > 1 AND len(list_filter(x[2:], lambda t: t LIKE '_%=_%')) = len(x) - 1 THEN replace(x[1] || ' ' || list_aggregate(list_transform(list_sort(list_transform(x[2:], lambda t: replace(t, '=', chr(2)))), lambda t: replace(t, chr(2), '=')), 'string_agg', ' '), chr(1), '\\ ') END AS series FROM w",
+)
+of_tables(
+    "late_write_accept",
+    lambda spark, sf: mark_late(table(spark, sf, "input_log").select("log_seq", "id", "ts_raw"), "id", "ts_raw", "log_seq", 10_000).filter("accepted").select("log_seq", "id", "ts_raw"),
+    "WITH r AS (SELECT log_seq, id, ts_raw, max(ts_raw) OVER (PARTITION BY id ORDER BY log_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM input_log WHERE id IS NOT NULL AND ts_raw IS NOT NULL) SELECT log_seq, id, ts_raw FROM r WHERE p IS NULL OR ts_raw > p",
+)
+
+
+def _put_lines(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events").filter("event_type is not null and user_id is not null and ts is not null and value is not null")
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    when = F.when(F.col("event_id") % 2 == 0, F.floor(us / 1_000_000).cast("bigint").cast("string")).otherwise((us * 1000).cast("string"))
+    return e.select(F.concat(F.lit("put "), "event_type", F.lit(" "), when, F.lit(" "), F.col("value").cast("string"), F.lit(" user="), F.col("user_id").cast("string"), F.lit("  cohort="), (F.col("user_id") % 4).cast("string"), F.lit("\r")).alias("value"))
+
+
+of_tables(
+    "parse_opentsdb",
+    lambda spark, sf: parse_put(_put_lines(spark, sf)),
+    "SELECT event_type || ' cohort=' || (user_id % 4) || ' user=' || user_id AS series, CASE WHEN event_id % 2 = 0 THEN epoch_us(ts) // 1000000 * 1000000000 ELSE epoch_us(ts) * 1000 END AS ts_ns, value, CAST(NULL AS VARCHAR) AS error FROM events WHERE event_type IS NOT NULL AND user_id IS NOT NULL AND ts IS NOT NULL AND value IS NOT NULL",
+)
+of_tables(
+    "parse_bulk",
+    lambda spark, sf: parse_bulk(table(spark, sf, "events").select(F.concat(F.lit("ev.value|ev.k user="), F.col("user_id").cast("string"), F.lit(" type="), "event_type").alias("name"), (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("ts_ns"), F.array("value", F.get_json_object("props", "$.k").cast("double")).alias("values"))),
+    "WITH e AS (SELECT 'type=' || event_type || ' user=' || user_id AS tags, epoch_us(ts) * 1000 AS ts_ns, value, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events) SELECT 'ev.value ' || tags AS series, ts_ns, value FROM e WHERE value IS NOT NULL UNION ALL SELECT 'ev.k ' || tags, ts_ns, k FROM e WHERE k IS NOT NULL",
+)
+of_tables(
+    "output_csv",
+    lambda spark, sf: csv_lines(build(clicks(spark, sf), {"select": "click", "range": FORWARD} | fn("scale", weights=[4]))),
+    S + _click() + " SELECT 'click ' || tags || ',' || strftime(make_timestamp(ts_ns // 1000), '%Y%m%dT%H%M%S') || '.' || lpad(CAST(ts_ns % 1000000000 AS VARCHAR), 9, '0') || ',' || printf('%.17g', value * 4) AS line FROM r",
+)
+of_tables(
+    "output_resp",
+    lambda spark, sf: resp_frames(build(clicks(spark, sf), _GJQ), iso=False),
+    S + _over(_SPARSE, "0 AS x").rpartition(" SELECT series")[0] + " SELECT '+' || series || chr(13) || chr(10) || '+ts=' || ts_ns || chr(13) || chr(10) || '*2' || chr(13) || chr(10) || coalesce('+' || printf('%.17g', c0), '$-1') || chr(13) || chr(10) || coalesce('+' || printf('%.17g', c1), '$-1') || chr(13) || chr(10) AS line FROM j",
+)
+of_tables(
+    "anomaly_ewma",
+    lambda spark, sf: anomalies(build(clicks(spark, sf), {"group-aggregate": {"step": STEP, "metric": "ev.value", "func": "mean"}, "range": FORWARD, "pivot-by-tag": ["type"]}).withColumnRenamed("mean", "value"), "ewma", 0.8, alpha=0.3),
+    None,
+)
