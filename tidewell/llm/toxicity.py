@@ -56,12 +56,14 @@ SIGNS = str.maketrans("013457@$!", "oieastasi")
 _BREAK = re.compile(r"(?<=[.!?…。！？])\s+|[\r\n]+|[。！？]")
 _HIDDEN = re.compile("[\u00ad\u034f\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufe00-\ufe0f\ufeff\ufffd]")
 _SPELLED = re.compile(r"(?<!\w)(?:\w[ .\-_*·]){2,}\w(?!\w)")
-_MARKED = re.compile(r"(?<=[^\W\d_])[?.\-_*·](?=[^\W\d_])")
+_MARKED = re.compile(r"(?<=[^\W\d_])[?*·](?=[^\W\d_])")
 _MASKED = re.compile(r"(?<!\w)(\w)[*#]{2,}(\w?)(?!\w)")
 _SIGNED = re.compile(r"(?<![\w@$!])(?=[\w@$!]*[^\W\d_])[\w@$!]*[013457@$!][\w@$!]*[^\W_](?![\w@$])")
 _STRETCHED = re.compile(r"([^\W\d_])\1{2,}")
 _WORD = re.compile(r"[^\W\d_]+|\d+")
-_MIXED = re.compile(r"\w*[a-z]\w*[\u0370-\u04ff]\w*|\w*[\u0370-\u04ff]\w*[a-z]\w*")
+_TOUCHING = re.compile(r"[a-z][\u0370-\u04ff]|[\u0370-\u04ff][a-z]")
+_TOKEN = re.compile(r"\w+")
+_ACCENTS = re.compile("[\u0300-\u036f\u3099\u309a]+")
 
 
 def plain(text: str) -> str:
@@ -69,21 +71,20 @@ def plain(text: str) -> str:
     if not text.isascii():
         text = _HIDDEN.sub("", unicodedata.normalize("NFKC", text))
         text = text.casefold()
-        text = _MIXED.sub(lambda m: m[0].translate(LOOKALIKES), text)
-        text = "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))
+        if _TOUCHING.search(text):
+            # only words of mixed script hold look-alikes
+            text = _TOKEN.sub(lambda m: m[0].translate(LOOKALIKES) if _TOUCHING.search(m[0]) else m[0], text)
+        text = _ACCENTS.sub("", unicodedata.normalize("NFD", text))
     else:
         text = text.lower()
-    text = _MASKED.sub(r"maskedword masked\1\2", text)
+    if "*" in text or "#" in text:
+        text = _MASKED.sub(r"maskedword masked\1\2", text)
     text = _SPELLED.sub(lambda m: "spelledout " + re.sub(r"[ .\-_*·]", "", m[0]), text)
-    text = _MARKED.sub(_unmark, text)
+    text = _MARKED.sub("", text)
     text = _SIGNED.sub(lambda m: m[0].translate(SIGNS), text)
     return _STRETCHED.sub(r"\1", text)
 
 
-def _unmark(m: re.Match) -> str:
-    return "" if m[0] in "?*·" else m[0]
-
-
 def passages(text: str) -> list[list[str]]:
     """Words of each passage: sentences and lines, long ones cut."""
     out = []
