@@ -9,6 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tidewell.functions.timefmt import iso_column
 from tidewell.shipping import ship
@@ -16,7 +17,7 @@ from tidewell.shipping import ship
 ship(__name__)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def g17(values: pd.Series) -> pd.Series:
     """%.17g of doubles; nulls must be masked by the caller, as pandas shows them as NaN."""
     return values.map(lambda v: "%.17g" % v)
