@@ -48,17 +48,21 @@ MEAN_WEIGHT, SCALE_WEIGHT, UNIT = 0.25, 0.05, 1.4
 
 
 def control_chart(x: list[float], mean: float, scale: float, floor: float) -> list[float]:
-    """Signed distance of each reading from the chart's mean before it, in units of the chart's scale."""
+    """Signed distance of each reading from the chart's mean before it, in units of the chart's scale.
+
+    Suspects on one side in a row beyond ``EXCURSION`` are a new level: their distances become 0.
+    """
     out = [0.0] * len(x)
-    suspects = 0
+    suspects = 0  # counted downwards on the lower side
     for i, v in enumerate(x):
         e = v - mean
         a = e if e >= 0 else -e
         out[i] = e / scale
         if a > SUSPECT * scale:
-            suspects += 1
-            if suspects > EXCURSION:
+            suspects = (suspects + 1 if suspects > 0 else 1) if e > 0 else (suspects - 1 if suspects < 0 else -1)
+            if suspects > EXCURSION or suspects < -EXCURSION:
                 mean = sorted(x[i - EXCURSION : i + 1])[EXCURSION // 2]
+                out[i - EXCURSION : i + 1] = [0.0] * (EXCURSION + 1)
                 suspects = 0
             else:
                 mean += MEAN_WEIGHT * scale if e > 0 else -MEAN_WEIGHT * scale
