@@ -15,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MAX_TAGS, MAX_BYTES = 32, 4096
-_SPACES, _TAG = r"(?<!\\) +", r"^[^=]+=.+$"
+_SPACES = r"(?<!\\) +"
 
 
 def _words(name: Column) -> Column:
@@ -23,24 +23,30 @@ def _words(name: Column) -> Column:
     return F.split(F.regexp_replace(F.ltrim(name), r"(?<!\\) +$", ""), _SPACES)
 
 
-def _entries(name: Column) -> Column:
+def _tags(name: Column) -> Column:
     words = _words(name)
-    pairs = F.transform(F.slice(words, F.lit(2), F.size(words)), lambda w: F.struct(F.regexp_extract(w, r"^([^=]*)=", 1).alias("key"), F.regexp_replace(w, r"^[^=]*=", "").alias("value")))
-    return F.array_sort(pairs)
+    return F.slice(words, F.lit(2), F.size(words))
+
+
+def _key(word: Column) -> Column:
+    return F.substring_index(word, "=", 1)
+
+
+def _entries(name: Column) -> Column:
+    """Keys and values in order: '=' sorts before all other characters."""
+    return F.array_sort(F.transform(_tags(name), lambda w: F.struct(_key(w).alias("key"), F.substring(w, F.length(_key(w)) + 2, F.length(w)).alias("value"))))
 
 
 def _good(name: Column) -> Column:
-    words = _words(name)
-    tags = F.slice(words, F.lit(2), F.size(words))
-    keys = F.transform(tags, lambda w: F.regexp_extract(w, r"^([^=]*)=", 1))
+    words, tags = _words(name), _tags(name)
     return (
         (F.octet_length(name) <= MAX_BYTES)
         & (F.get(words, F.lit(0)) != "")
         & ~F.contains(F.get(words, F.lit(0)), F.lit("="))
         & (F.size(tags) > 0)
         & (F.size(tags) <= MAX_TAGS)
-        & F.forall(tags, lambda w: w.rlike(_TAG))
-        & (F.size(F.array_distinct(keys)) == F.size(tags))
+        & F.forall(tags, lambda w: F.contains(w, F.lit("=")) & (_key(w) != "") & (F.length(w) > F.length(_key(w)) + 1))
+        & (F.size(F.array_distinct(F.transform(tags, _key))) == F.size(tags))
     )
 
 

@@ -33,8 +33,14 @@ def _ordered(out: DataFrame, q: Query) -> DataFrame:
     return out.limit(q.limit) if q.limit is not None else out
 
 
+def _rows(cat: Catalog, q: Query, events: bool = False) -> DataFrame:
+    """Rows of a query's series in its range, repeats removed after everything else was narrowed."""
+    rows = selected((cat.scan_events if events else cat.scan)(q.range, q.metrics), cat.series, q)
+    return rows.dropDuplicates(["series_id", "ts_ns", "body" if events else "value"]) if cat.repeats else rows
+
+
 def _select(cat: Catalog, q: Query) -> Frame:
-    rows = selected(cat.samples, cat.series, q)
+    rows = _rows(cat, q)
     if q.filters:
         rows = rows.filter(bounded(F.col("value"), q.filters[0][1]))
     name = F.concat("metric", F.lit(" "), F.col("tag_key"))
@@ -42,24 +48,24 @@ def _select(cat: Catalog, q: Query) -> Frame:
 
 
 def _select_events(cat: Catalog, q: Query) -> Frame:
-    rows = selected(cat.events, cat.series, q)
+    rows = _rows(cat, q, True)
     if q.regex is not None:
         rows = rows.filter(F.col("body").rlike(q.regex))
     return Frame(rows.select(F.concat("metric", F.lit(" "), F.col("tag_key")).alias("series"), "ts_ns", "body"), ("body",), {})
 
 
 def _aggregate(cat: Catalog, q: Query) -> Frame:
-    return Frame(aggregate.per_series(selected(cat.samples, cat.series, q), q), ("value",), {m: "value" for m in q.metrics})
+    return Frame(aggregate.per_series(_rows(cat, q), q), ("value",), {m: "value" for m in q.metrics})
 
 
 def _group_aggregate(cat: Catalog, q: Query) -> Frame:
-    out = aggregate.per_bucket(selected(cat.samples, cat.series, q), q)
+    out = aggregate.per_bucket(_rows(cat, q), q)
     names = {f"{q.metrics[0]}:{f}": f for f in q.functions} if len(q.metrics) == 1 else {}
     return Frame(out, q.functions, {q.metrics[0]: q.functions[0]} | names, regular=True)
 
 
 def _join(cat: Catalog, q: Query) -> Frame:
-    rows = selected(cat.samples, cat.series, q)
+    rows = _rows(cat, q)
     dim = projected(matching_series(cat.series, q), q)
     out = (join.joined if q.kind == "join" else join.joined_buckets)(rows, dim, q)
     return Frame(out, tuple(join.element_names(q)), dict(zip(q.metrics, join.element_names(q), strict=True)), regular=q.kind != "join")

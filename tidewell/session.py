@@ -26,13 +26,17 @@ def build_session(app: str = "tidewell", master: str | None = None, **conf: str)
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Put a foreign session into the state that the operators expect: UTC and a checkpoint folder.
-
-    The folder comes from ``spark.checkpoint.dir``; only where that is unset (tests, local mode)
-    a temporary one is made.
-    """
+    """Put a foreign session into the state that the operators expect: times in UTC."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+    return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that all executors share, as ``spark.checkpoint.dir`` names it.
+
+    Only where that is unset, and the session is local, a temporary folder is made.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = sc.getConf().get("spark.checkpoint.dir")
@@ -41,7 +45,7 @@ def prepare(spark: SparkSession) -> SparkSession:
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             shared = os.path.join(tempfile.gettempdir(), "tidewell-checkpoints")
         sc.setCheckpointDir(shared)
-    return spark
+    return sc.getCheckpointDir()
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -50,7 +54,7 @@ def materialize(df: DataFrame) -> DataFrame:
     The table is removed when the Python process ends.
     """
     spark = prepare(df.sparkSession)
-    path = f"{spark.sparkContext.getCheckpointDir()}/tidewell-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/tidewell-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
     return spark.read.parquet(path)

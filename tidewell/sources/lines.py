@@ -51,11 +51,12 @@ def parse_bulk(rows: DataFrame, name: str = "name", ts: str = "ts_ns", values: s
 
     Rows with a null or bad name or another number of values give no rows; a null value is left out.
     """
-    metrics = F.split(F.regexp_extract(F.ltrim(name), r"^((?:\\ |[^ ])+)", 1), r"\|")
-    tags = F.regexp_replace(F.ltrim(name), r"^(?:\\ |[^ ])+", "")
-    rows = rows.select(metrics.alias("_m"), tags.alias("_tags"), F.col(ts).alias("ts_ns"), F.col(values).alias("_v")).filter(F.size("_m") == F.size("_v"))
-    each = rows.select("_tags", "ts_ns", F.explode(F.arrays_zip("_m", "_v")).alias("z"))
-    out = each.select(canonical(F.concat(F.col("z._m"), F.col("_tags"))).alias("series"), "ts_ns", F.col("z._v").cast("double").alias("value"))
+    whole = rows.select(canonical(F.col(name)).alias("_n"), F.col(ts).alias("ts_ns"), F.col(values).alias("_v"))
+    # the metrics end at the first space that isn't escaped
+    head = F.get(F.split("_n", r"(?<!\\) ", 2), F.lit(0))
+    parts = whole.select(F.split(head, r"\|").alias("_m"), F.substring("_n", F.length(head) + 1, F.length("_n")).alias("_tags"), "ts_ns", "_v").filter(F.size("_m") == F.size("_v"))
+    each = parts.select("_tags", "ts_ns", F.explode(F.arrays_zip("_m", "_v")).alias("z")).filter("z._m <> ''")
+    out = each.select(F.concat(F.col("z._m"), F.col("_tags")).alias("series"), "ts_ns", F.col("z._v").cast("double").alias("value"))
     return out.filter("series is not null and ts_ns is not null and value is not null")
 
 

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.functions.names import canonical, metric_of
+from tidewell.operators.common import attach_dimension
 from tidewell.operators.late_write import mark_late
+from tidewell.session import materialize
 
 #: Parts of the folder of a store.
 SAMPLES, EVENTS, SERIES, REJECTED = "samples", "events", "series", "rejected"
@@ -32,8 +34,10 @@ class Store:
         df.withColumn("batch", F.lit(batch)).write.mode("overwrite").partitionBy("batch", *by).parquet(f"{self.path}/{name}")
 
     def write(self, rows: DataFrame, batch: int) -> None:
-        name = canonical(F.col("series"))
-        src = rows.select(F.col("series").alias("sent"), name.alias("series"), "ts_ns", "value", "body", "seq")
+        # names are parsed once per name, not once per row
+        sent = rows.select(F.col("series").alias("sent")).distinct().select("sent", canonical(F.col("sent")).alias("series"))
+        src = rows.withColumnRenamed("series", "sent").select("sent", "ts_ns", "value", "body", "seq")
+        src = attach_dimension(src, sent.filter("sent is not null"), "sent", ["seq"], "left")
         last = None
         for kind in (SAMPLES, EVENTS):
             old = self._read(kind)
@@ -46,6 +50,7 @@ class Store:
         judged = judged.withColumn("event", F.col("series").startswith("!"))
         reason = F.when(F.col("series").isNull(), "bad name").when(F.col("ts_ns").isNull(), "no time").when(~F.col("accepted"), "late write").when(F.when(F.col("event"), F.col("body").isNull()).otherwise(F.col("value").isNull()), "no value")
         judged = judged.withColumn("reason", reason).withColumn("day", F.call_function("div", F.col("ts_ns"), F.lit(86_400_000_000_000)))
+        judged = materialize(judged)
         good = judged.filter("reason is null")
         self._put(good.filter("not event").select("series", "ts_ns", "value", "day"), SAMPLES, batch, "day")
         self._put(good.filter("event").select("series", "ts_ns", "body", "day"), EVENTS, batch, "day")
