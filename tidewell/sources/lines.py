@@ -30,12 +30,14 @@ def parse_put(lines: DataFrame, line: str = "value") -> DataFrame:
     rows = lines.select(text.alias("_t"), word.alias("_w")).filter(F.col("_t").isNotNull() & (F.col("_t") != "")).withColumn("_verb", F.get("_w", F.lit(0)))
     rows = rows.filter(~F.col("_verb").isin(*IGNORED))
     tags = F.array_join(F.slice("_w", F.lit(5), F.greatest(F.size("_w") - 4, F.lit(0))), " ")
-    made = rows.select(
-        "_verb",
+    parsed = F.struct(
+        F.col("_verb"),
         canonical(F.concat_ws(" ", F.get("_w", F.lit(1)), tags)).alias("series"),
         _put_time(F.get("_w", F.lit(2))).alias("ts_ns"),
         F.get("_w", F.lit(3)).try_cast("double").alias("value"),
     )
+    # a generator of one row keeps the optimizer from copying the parsing into each use of its results
+    made = rows.select(F.inline(F.array(parsed)))
     error = (
         F.when(F.col("_verb") != "put", F.lit("unknown command"))
         .when(F.col("series").isNull(), F.lit("put: invalid series name format"))
@@ -51,10 +53,10 @@ def parse_bulk(rows: DataFrame, name: str = "name", ts: str = "ts_ns", values: s
 
     Rows with a null or bad name or another number of values give no rows; a null value is left out.
     """
-    whole = rows.select(canonical(F.col(name)).alias("_n"), F.col(ts).alias("ts_ns"), F.col(values).alias("_v"))
+    whole = rows.select(F.inline(F.array(F.struct(canonical(F.col(name)).alias("_n"), F.col(ts).alias("ts_ns"), F.col(values).alias("_v")))))
     # the metrics end at the first space that isn't escaped
     head = F.get(F.split("_n", r"(?<!\\) ", 2), F.lit(0))
-    parts = whole.select(F.split(head, r"\|").alias("_m"), F.substring("_n", F.length(head) + 1, F.length("_n")).alias("_tags"), "ts_ns", "_v").filter(F.size("_m") == F.size("_v"))
+    parts = whole.filter("_n is not null").select(F.split(head, r"\|").alias("_m"), F.substring("_n", F.length(head) + 1, F.length("_n")).alias("_tags"), "ts_ns", "_v").filter(F.size("_m") == F.size("_v"))
     each = parts.select("_tags", "ts_ns", F.explode(F.arrays_zip("_m", "_v")).alias("z")).filter("z._m <> ''")
     out = each.select(F.concat(F.col("z._m"), F.col("_tags")).alias("series"), "ts_ns", F.col("z._v").cast("double").alias("value"))
     return out.filter("series is not null and ts_ns is not null and value is not null")
