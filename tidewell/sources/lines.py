@@ -23,16 +23,20 @@ def _put_time(text: Column) -> Column:
     return F.when(n > 0, F.when(n < SECONDS_BELOW, n * 1_000_000_000).otherwise(n)).otherwise(parse_column(text))
 
 
-def parse_put(lines: DataFrame, line: str = "value") -> DataFrame:
-    """series, ts_ns, value, error of each line; blank lines and ignored verbs give no row."""
+def parse_put(lines: DataFrame, line: str = "value", canonical_names: bool = True) -> DataFrame:
+    """series, ts_ns, value, error of each line; blank lines and ignored verbs give no row.
+
+    Without ``canonical_names`` names stay as sent, for a consumer that parses each distinct name once.
+    """
     text = F.trim(F.regexp_replace(F.col(line), r"[\r\n]+$", ""))
     word = F.split(text, r"(?<!\\) +")
     rows = lines.select(text.alias("_t"), word.alias("_w")).filter(F.col("_t").isNotNull() & (F.col("_t") != "")).withColumn("_verb", F.get("_w", F.lit(0)))
     rows = rows.filter(~F.col("_verb").isin(*IGNORED))
     tags = F.array_join(F.slice("_w", F.lit(5), F.greatest(F.size("_w") - 4, F.lit(0))), " ")
+    sent = F.concat_ws(" ", F.get("_w", F.lit(1)), tags)
     parsed = F.struct(
         F.col("_verb"),
-        canonical(F.concat_ws(" ", F.get("_w", F.lit(1)), tags)).alias("series"),
+        (canonical(sent) if canonical_names else sent).alias("series"),
         _put_time(F.get("_w", F.lit(2))).alias("ts_ns"),
         F.get("_w", F.lit(3)).try_cast("double").alias("value"),
     )

@@ -31,6 +31,8 @@ class Store:
         return self.spark.read.parquet(f"{self.path}/{name}") if there else None
 
     def _put(self, df: DataFrame, name: str, batch: int, *by: str) -> None:
+        # few files per day, large days split
+        df = df.hint("rebalance", *by) if by else df
         df.withColumn("batch", F.lit(batch)).write.mode("overwrite").partitionBy("batch", *by).parquet(f"{self.path}/{name}")
 
     def write(self, rows: DataFrame, batch: int) -> None:
