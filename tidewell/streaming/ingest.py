@@ -36,8 +36,9 @@ class Store:
         df.withColumn("batch", F.lit(batch)).write.mode("overwrite").partitionBy("batch", *by).parquet(f"{self.path}/{name}")
 
     def write(self, rows: DataFrame, batch: int) -> None:
-        # names are parsed once per name, not once per row
-        sent = rows.select(F.col("series").alias("sent")).distinct().select("sent", canonical(F.col("sent")).alias("series"))
+        # names are parsed once per name, not once per row; the generator of one row keeps the optimizer
+        # from inferring a filter on the parsed name for every row
+        sent = rows.select(F.col("series").alias("sent")).distinct().select(F.inline(F.array(F.struct("sent", canonical(F.col("sent")).alias("series")))))
         src = rows.withColumnRenamed("series", "sent").select("sent", "ts_ns", "value", "body", "seq")
         src = attach_dimension(src, sent.filter("sent is not null"), "sent", ["seq"], "left")
         last = None
