@@ -117,6 +117,8 @@ def _feed(folder, name, data):
     folder.mkdir(exist_ok=True)
     tmp = folder / f".{name}"
     tmp.write_text("\n".join(json.dumps(x) for x in data))
+    # the file source reads in the order of modification times
+    os.utime(tmp, (1_700_000_000 + int(name), 1_700_000_000 + int(name)))
     os.rename(tmp, folder / f"{name}.json")
 
 
