@@ -204,6 +204,17 @@ def test_pieces_give_what_the_whole_series_gives(spark):
     assert flagged(spark, v, piece=512, halo=128) == whole and len(whole) > 100
 
 
+def test_runs_over_many_pieces_are_stuck_as_in_the_whole_series(spark):
+    v = noisy(3000, 4)
+    v[700:1900] = v[700]  # longer than a piece and both halos
+    v[2200:2205] = v[2200]  # short, over the end of a piece
+    v[2556:2566] = v[2556]  # ten readings, over the end of a piece
+    v[2950:] = v[2950]  # hangs at its end and fills the last piece
+    want = {*range(700, 1900), *range(2556, 2566), *range(2950, 3000)}
+    for kw in ({}, {"piece": 512, "halo": 128}, {"piece": 64, "halo": 16}, {"piece": 50, "halo": 10}):
+        assert {k for k, f in flagged(spark, v, **kw).items() if f[1]} == want
+
+
 def test_series_whose_readings_repeat_are_not_stuck(spark):
     rng = random.Random(3)
     v = [float(rng.random() < 0.02) for _ in range(800)]

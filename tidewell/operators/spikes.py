@@ -13,7 +13,9 @@ Three tests per reading, in time order within its source:
 
 A source may hold a third of all rows, so none is processed as a whole: readings are numbered within
 their source by prefix sums over blocks and then cut into pieces of ``PIECE`` readings, each with
-``HALO`` readings of its neighbours for the charts to settle and the runs to be counted.
+``HALO`` readings of its neighbours for the charts to settle. A piece counts the runs of its own readings
+only; runs that reach over its ends are put together, and neighbours counted over the whole source, on a
+table with one row per piece.
 
 Defined cases: readings with null key or time, null or NaN value are absent; repeated rows count once;
 null limits are no limits; two different values at the same time are ordered by value; a piece with
@@ -30,6 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.operators.common import DAY_NS, div, floor_to, present
+from tidewell.session import materialize
 from tidewell.shipping import ship
 
 ship(__name__)
@@ -39,6 +42,11 @@ HALO = 256
 STUCK_RUN = 10
 #: Share of equal neighbours, outside long runs, from which equal readings are normal for a source.
 AGREE = 0.25
+#: Marks of readings in runs: within a piece, at its start, at its end.
+INSIDE, HEAD, TAIL = 1, 2, 3
+#: Of a piece: readings, length of the first and of the last run, first and last value; of the runs between those two, the number of
+#: long ones, the equal pairs in long ones, and the equal pairs in others.
+COUNTS = "n bigint, head bigint, tail bigint, first double, last double, longs bigint, held bigint, same bigint"
 EXCURSION = 3
 LEAST = 20
 #: Distance from the chart's mean, in scales, at which a reading is a spike, is suspected, and is clipped.
@@ -85,20 +93,24 @@ def run_lengths(same_as_next: np.ndarray) -> np.ndarray:
     return np.repeat(sizes, sizes)
 
 
-def stuck(values: np.ndarray) -> np.ndarray:
-    """Flags of readings in long runs of equal values, where the rest seldom repeats."""
-    flags = np.zeros(len(values), bool)
-    if len(values) < STUCK_RUN:
-        return flags
-    same = values[1:] == values[:-1]
-    lengths = run_lengths(same)
-    long = lengths >= STUCK_RUN
-    if long.any():
-        inside = long[1:] & long[:-1] & same
-        others = len(same) - int(inside.sum())
-        if others >= LEAST // 2 and int((same & ~inside).sum()) < AGREE * others:
-            flags = long
-    return flags
+def runs(values: np.ndarray) -> tuple[np.ndarray, tuple[float, ...]]:
+    """For the readings of one piece: which may be stuck, and what the rest of the source needs to know.
+
+    The marks: ``INSIDE`` a long run within the piece; ``HEAD`` or ``TAIL``, the runs at the piece's ends,
+    which may go on in its neighbours (only ``HEAD`` where one run fills the piece). The counts are those
+    of ``COUNTS``.
+    """
+    lengths = run_lengths(values[1:] == values[:-1])
+    n, head, tail = len(values), int(lengths[0]), int(lengths[-1])
+    marks = np.where(lengths >= STUCK_RUN, INSIDE, 0).astype(np.int8)
+    marks[n - tail :] = TAIL
+    marks[:head] = HEAD
+    inner = lengths[head : n - tail]
+    held = inner >= STUCK_RUN
+    # a run of m readings has m - 1 equal pairs: 1 - 1 / m for each of its readings
+    pairs = 1 - 1 / inner
+    counts = float(np.sum(1 / inner[held])), float(pairs[held].sum()), float(pairs[~held].sum())
+    return marks, (n, head, tail, float(values[0]), float(values[-1]), *map(round, counts))
 
 
 def spikes(values: np.ndarray) -> np.ndarray:
@@ -158,26 +170,66 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict[str, np.nd
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Readings that fail a test or may be stuck, and for each piece a row without time that holds its counts."""
+    names = ["key", "piece", "ts", "value", "impossible", "spike", "run"]
+    kinds = [pa.int64()] * 3 + [pa.float64()] * 2 + [pa.int64()] * 3
+    counted = [c.split()[0] for c in COUNTS.split(", ")]
     found: list[tuple[np.ndarray, ...]] = []
+    pieces: list[tuple[int, int, tuple[float, ...]]] = []
     size = 0
-    names = ["key", "ts", "value", "impossible", "stuck", "spike"]
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        if found:
+            columns = [pa.array(np.concatenate(x)) for x in zip(*found, strict=True)]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(len(columns[0]), t) for t in kinds)], names=[*names, *counted])
+        if pieces:
+            key, piece, counts = zip(*pieces, strict=True)
+            none = [pa.nulls(len(key), t) for t in (pa.int64(), pa.float64(), pa.bool_(), pa.bool_(), pa.int8())]
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(piece, pa.int64()), *none, *(pa.array(x, t) for x, t in zip(zip(*counts, strict=True), kinds, strict=True))], names=[*names, *counted])
+
     for c, a, b in _pieces(batches):
         own = c["own"][a:b].astype(bool)
         if not own.any():
             continue
         value, bad = c["value"][a:b], c["impossible"][a:b].astype(bool)
-        held = stuck(value)
+        run = np.zeros(b - a, np.int8)
+        run[own], counts = runs(value[own])
+        pieces.append((int(c["key"][a]), int(c["piece"][a]), counts))
         off = np.zeros(b - a, bool)
         off[~bad] = spikes(value[~bad])
-        pick = np.flatnonzero(own & (bad | held | off))
-        if len(pick):
-            found.append((c["key"][a:b][pick], c["ts"][a:b][pick], value[pick], bad[pick], held[pick], off[pick]))
-            size += len(pick)
-            if size >= 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=names)
-                found, size = [], 0
-    if found:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=names)
+        pick = np.flatnonzero(own & (bad | (run > 0) | off))
+        found.append((c["key"][a:b][pick], c["piece"][a:b][pick], c["ts"][a:b][pick], value[pick], bad[pick], off[pick], run[pick]))
+        size += len(pick)
+        if size >= 10_000:
+            yield from rows()
+            found, pieces, size = [], [], 0
+    yield from rows()
+
+
+def stuck_runs(pieces: DataFrame) -> DataFrame:
+    """key, piece, long_head, long_tail of the pieces of sources whose neighbours otherwise seldom agree.
+
+    ``pieces`` has one row per piece with its ``COUNTS``. No window holds more than the two end runs of
+    each piece of a source.
+    """
+    ends = F.array(F.struct(F.lit(HEAD).alias("end"), F.col("head").alias("size")), F.when(F.col("head") < F.col("n"), F.struct(F.lit(TAIL).alias("end"), F.col("tail").alias("size"))))
+    in_order = Window.partitionBy("key").orderBy("piece")
+    goes_on = F.coalesce(F.col("first") == F.lag("last").over(in_order), F.lit(False))
+    e = pieces.withColumn("goes_on", goes_on).withColumn("e", F.explode(F.array_compact(ends))).select("key", "piece", "goes_on", "e.*", *(F.when(F.col("e.end") == HEAD, F.col(c)).otherwise(0).alias(c) for c in ("n", "longs", "held", "same")))
+    begins = F.when((F.col("end") == HEAD) & F.col("goes_on"), 0).otherwise(1)
+    e = e.withColumn("begins", begins).withColumn("run", F.sum("begins").over(Window.partitionBy("key").orderBy("piece", "end").rowsBetween(Window.unboundedPreceding, 0)))
+    e = e.withColumn("size", F.sum("size").over(Window.partitionBy("key", "run")))
+    long, once = F.col("size") >= STUCK_RUN, F.col("begins") == 1
+    pairs = F.col("size") - 1
+    total = e.groupBy("key").agg(
+        (F.sum("n") - 1).alias("pairs"),
+        (F.sum("held") + F.sum(F.when(once & long, pairs).otherwise(0))).alias("held"),
+        (F.sum("same") + F.sum(F.when(once & ~long, pairs).otherwise(0))).alias("same"),
+    )
+    others = F.col("pairs") - F.col("held")
+    seldom = total.filter((others >= LEAST // 2) & (F.col("same") < AGREE * others)).select("key")
+    at = lambda end: F.max(F.when(F.col("end") == end, long).otherwise(False))
+    return e.groupBy("key", "piece").agg(at(HEAD).alias("long_head"), at(TAIL).alias("long_tail")).join(seldom, "key", "left_semi")
 
 
 def numbered(readings: DataFrame) -> DataFrame:
@@ -209,4 +261,9 @@ def implausible(readings: DataFrame, piece: int = PIECE, halo: int = HALO) -> Da
     to = F.array_compact(F.array(F.col("home"), F.when((inside < halo) & (F.col("home") > 0), F.col("home") - 1), F.when(inside >= piece - halo, F.col("home") + 1)))
     rows = rows.withColumn("piece", F.explode(to)).select("key", "piece", "at", "ts", "value", "impossible", (F.col("piece") == F.col("home")).alias("own"))
     rows = rows.repartition("key", "piece").sortWithinPartitions("key", "piece", "at").drop("at")
-    return rows.mapInArrow(_judge, "key bigint, ts bigint, value double, impossible boolean, stuck boolean, spike boolean")
+    judged = materialize(rows.mapInArrow(_judge, f"key bigint, piece bigint, ts bigint, value double, impossible boolean, spike boolean, run tinyint, {COUNTS}"))
+    ends = stuck_runs(judged.filter("n is not null").select("key", "piece", *(c.split()[0] for c in COUNTS.split(", "))))
+    found = judged.filter("n is null").join(ends, ["key", "piece"], "left")
+    held = ((F.col("run") == INSIDE) & F.col("long_head").isNotNull()) | ((F.col("run") == HEAD) & F.col("long_head")) | ((F.col("run") == TAIL) & F.col("long_tail"))
+    found = found.withColumn("stuck", F.coalesce(held, F.lit(False)))
+    return found.filter("impossible or stuck or spike").select("key", "ts", "value", "impossible", "stuck", "spike")
