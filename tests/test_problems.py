@@ -222,6 +222,17 @@ def test_series_whose_readings_repeat_are_not_stuck(spark):
     assert flagged(spark, [5.0] * 300) == {}
 
 
+def test_long_runs_that_are_the_normal_state_are_not_stuck(spark):
+    v = []
+    for i in range(12):  # a door: long runs, few other pairs, and those mostly changes
+        v += [float(i % 2)] * (20 + i)
+    v += [0.0, 1.0]
+    assert flagged(spark, v, hi=1.0) == {}
+    w = noisy(400, 5)
+    w[100:130], w[200:212], w[390:] = w[100], w[200], w[390]
+    assert {k for k, f in flagged(spark, w).items() if f[1]} == {*range(100, 130), *range(200, 212), *range(390, 400)}
+
+
 def test_dirty_and_tiny_series(spark):
     assert flagged(spark, []) == {}
     assert flagged(spark, [1.0, None, NAN, -5.0]) == {3: (True, False, False)}

@@ -40,7 +40,8 @@ ship(__name__)
 PIECE = 8192
 HALO = 256
 STUCK_RUN = 10
-#: Share of equal neighbours, outside long runs, from which equal readings are normal for a source.
+#: Share of equal neighbours from which equal readings are normal for a source. The run under judgement is left out; of every other
+#: long run the first ``STUCK_RUN`` readings count, so that a source whose normal state is long runs isn't judged by the changes between them.
 AGREE = 0.25
 #: Marks of readings in runs: within a piece, at its start, at its end.
 INSIDE, HEAD, TAIL = 1, 2, 3
@@ -225,9 +226,10 @@ def stuck_runs(pieces: DataFrame) -> DataFrame:
         (F.sum("n") - 1).alias("pairs"),
         (F.sum("held") + F.sum(F.when(once & long, pairs).otherwise(0))).alias("held"),
         (F.sum("same") + F.sum(F.when(once & ~long, pairs).otherwise(0))).alias("same"),
+        (F.sum("longs") + F.sum((once & long).cast("bigint"))).alias("longs"),
     )
-    others = F.col("pairs") - F.col("held")
-    seldom = total.filter((others >= LEAST // 2) & (F.col("same") < AGREE * others)).select("key")
+    others, capped = F.col("pairs") - F.col("held"), (F.col("longs") - 1) * (STUCK_RUN - 1)
+    seldom = total.filter((others >= LEAST // 2) & (F.col("same") + capped < AGREE * (others + capped))).select("key")
     at = lambda end: F.max(F.when(F.col("end") == end, long).otherwise(False))
     return e.groupBy("key", "piece").agg(at(HEAD).alias("long_head"), at(TAIL).alias("long_tail")).join(seldom, "key", "left_semi")
 
