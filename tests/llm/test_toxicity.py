@@ -3,6 +3,7 @@
 import os
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidewell.llm import toxicity as T
@@ -35,6 +36,22 @@ def test_passages():
     assert [len(p) for p in T.passages("aa bb " * 50)] == [40, 40, 20]
 
 
+def worst(model, text):
+    batch = pa.RecordBatch.from_arrays([pa.array([text])], names=["_text"])
+    return next(T._score_batches(model)(iter([batch]))).column("score")[0].as_py()
+
+
+def test_all_of_a_long_run_of_letters_counts():
+    weights = np.zeros(T.DIM)
+    for c in T.word_codes("stupidpig")[3:-1]:
+        weights[c & (T.DIM - 1)] = 2.0
+    model = T.Model(weights, 0.0)
+    clean = "abcdefghij" * 8
+    assert worst(model, clean) < T.THRESHOLD
+    for at in range(0, len(clean) + 1, 5):
+        assert worst(model, clean[:at] + "stupidpig" + clean[at:]) > T.THRESHOLD
+
+
 def test_swapped_letters_share_a_key():
     assert T.word_codes("porn")[1] == T.word_codes("ponr")[1] != T.word_codes("pore")[1]
 

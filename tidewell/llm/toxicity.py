@@ -46,6 +46,8 @@ PRIOR, CLEAN_WEIGHT, DECAY = 0.03, 1.0, 3e-5
 ROUNDS, STEPS, RATE = 2, 100, 0.05
 #: Passages of more words than this are cut.
 PASSAGE_WORDS = 40
+#: Runs of more letters than this, as in text without spaces, are scored in windows too, which begin RUN_STEP letters apart.
+RUN_LETTERS, RUN_STEP = 32, 16
 #: Score, from 0 to 1, from which a document counts as offending, and the margin and slope that it stands for.
 THRESHOLD, MARGIN, SLOPE = 0.5, 0.6, 4.0
 
@@ -97,6 +99,13 @@ def passages(text: str) -> list[list[str]]:
     return out
 
 
+def scored_passages(text: str) -> list[list[str]]:
+    """Passages as they are scored: beside each long run of letters, which counts as one word, windows of it that overlap."""
+    found = passages(text)
+    long = dict.fromkeys(w for p in found for w in p if len(w) > RUN_LETTERS and not w.isdigit())
+    return found + [[w[i : i + RUN_LETTERS]] for w in long for i in range(0, len(w) - RUN_LETTERS + RUN_STEP, RUN_STEP)]
+
+
 def _code(s: str) -> int:
     return zlib.crc32(s.encode("utf-8", "surrogatepass"))
 
@@ -108,7 +117,7 @@ def word_codes(word: str) -> list[int]:
     codes = [_code("w " + word)]
     if len(word) > 3:
         codes.append(_code("k " + word[0] + "".join(sorted(word[1:]))))
-        w = f"<{word}>"[:34]
+        w = f"<{word}>"
         codes += [_code("g " + w[i : i + 4]) for i in range(len(w) - 3)]
     return codes
 
@@ -270,7 +279,7 @@ def _score_batches(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         margins = model.scorer()
         for batch in batches:
-            found = [passages(t) if t else [] for t in batch.column("_text").to_pylist()]
+            found = [scored_passages(t) if t else [] for t in batch.column("_text").to_pylist()]
             sizes = np.fromiter(map(len, found), np.int64, len(found))
             worst = np.full(len(found), -np.inf)
             if sizes.sum():
