@@ -52,6 +52,16 @@ def test_all_of_a_long_run_of_letters_counts():
         assert worst(model, clean[:at] + "stupidpig" + clean[at:]) > T.THRESHOLD
 
 
+def test_a_phrase_counts_wherever_it_lies_in_a_long_passage():
+    phrase = "you are one of them so go away".split()
+    codes = np.array([T.word_codes(w)[0] for w in phrase], np.int64)
+    weights = np.zeros(T.DIM)
+    weights[T._pairs(codes)] = 1.0
+    model = T.Model(weights, 0.0)
+    scores = {round(worst(model, " ".join(["filler"] * at + phrase + ["filler"] * (90 - at))), 6) for at in range(0, 60)}
+    assert len(scores) == 1 and min(scores) > T.THRESHOLD
+
+
 def test_swapped_letters_share_a_key():
     assert T.word_codes("porn")[1] == T.word_codes("ponr")[1] != T.word_codes("pore")[1]
 

@@ -44,8 +44,8 @@ DIM = 1 << 18
 #: Share of offending passages in the corpus assumed by the risk, weight of the reviewed clean passages, L2 penalty.
 PRIOR, CLEAN_WEIGHT, DECAY = 0.03, 1.0, 3e-5
 ROUNDS, STEPS, RATE = 2, 100, 0.05
-#: Passages of more words than this are cut.
-PASSAGE_WORDS = 40
+#: Passages of more words than this are cut; as they are scored, the windows begin PASSAGE_STEP words apart.
+PASSAGE_WORDS, PASSAGE_STEP = 40, 20
 #: Runs of more letters than this, as in text without spaces, are scored in windows too, which begin RUN_STEP letters apart.
 RUN_LETTERS, RUN_STEP = 32, 16
 #: Score, from 0 to 1, from which a document counts as offending, and the margin and slope that it stands for.
@@ -87,21 +87,21 @@ def plain(text: str) -> str:
     return _STRETCHED.sub(r"\1", text)
 
 
-def passages(text: str) -> list[list[str]]:
-    """Words of each passage: sentences and lines, long ones cut."""
+def passages(text: str, step: int = PASSAGE_WORDS) -> list[list[str]]:
+    """Words of each passage: sentences and lines, long ones cut into windows that begin ``step`` words apart."""
     out = []
     for part in _BREAK.split(plain(text)):
         words = _WORD.findall(part) if part else []
-        if len(words) > 1:
-            out += [words[i : i + PASSAGE_WORDS] for i in range(0, len(words), PASSAGE_WORDS)]
+        if len(words) > PASSAGE_WORDS:
+            out += [words[i : i + PASSAGE_WORDS] for i in range(0, len(words), step)]
         elif words:
             out.append(words)
     return out
 
 
 def scored_passages(text: str) -> list[list[str]]:
-    """Passages as they are scored: beside each long run of letters, which counts as one word, windows of it that overlap."""
-    found = passages(text)
+    """Passages as they are scored: long ones in windows that overlap, and beside each long run of letters, which counts as one word, windows of it."""
+    found = passages(text, PASSAGE_STEP)
     long = dict.fromkeys(w for p in found for w in p if len(w) > RUN_LETTERS and not w.isdigit())
     return found + [[w[i : i + RUN_LETTERS]] for w in long for i in range(0, len(w) - RUN_LETTERS + RUN_STEP, RUN_STEP)]
 
