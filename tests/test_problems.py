@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewell.operators import common, late_events, regular_grid, spikes, trailing
 from tidewell.operators.late_write import mark_late
+from tidewell.plans import problem_queries
 
 H = 3_600_000_000_000
 DAY = 24 * H
@@ -166,6 +167,19 @@ def test_gaps_across_blocks_and_outages(spark):
     assert got == [i * s for i in range(1, many)]
 
 
+def test_empty_slots_are_filled_from_both_sides_only(spark, tmp_path):
+    s = 1000
+    # slots 0 and 5 hold two readings each that lie close together, slots 1 to 4 none; slot 7 lies between readings
+    data = [(1, 900, 1.0), (1, 950, 2.0), (1, 5050, 5.0), (1, 5100, 7.0), (1, 6500, 4.0), (1, 8500, 8.0)]
+    spark.createDataFrame([(1, "m", s)], "series_id bigint, metric string, step_ns bigint").write.parquet(str(tmp_path / "series_dim.parquet"))
+    spark.createDataFrame([("m", "gauge", 0.0, 9.0, 0)], "metric string, kind string, lo double, hi double, late_cutoff_s int").write.parquet(str(tmp_path / "metric_defs.parquet"))
+    spark.createDataFrame(data, "series_id bigint, ts_ns bigint, value double").write.parquet(str(tmp_path / "samples.parquet"))
+    got = {r.slot_ns // s: r for r in problem_queries.p3_grid(spark, str(tmp_path)).collect()}
+    assert {k for k, r in got.items() if r.missing} == {1, 2, 3, 4, 7}
+    assert {k for k, r in got.items() if r.filled} == {7} and got[7].value == pytest.approx(6.0)
+    assert all(got[k].value is None for k in (1, 2, 3, 4)) and 1 <= got[0].value <= 2
+
+
 # spikes
 def readings(spark, data):
     return spark.createDataFrame([(*r, "x") for r in data], "series_id bigint, ts_ns bigint, value double, step_ns bigint, lo double, hi double, piece string")

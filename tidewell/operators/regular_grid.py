@@ -31,6 +31,8 @@ OUTAGE_NS = 10 * DAY_NS
 BANDWIDTH = 1.5
 #: Least effective support, (sum w)^2 / sum w^2, at which a slot without a reading gets a value.
 MIN_SUPPORT = 1.5
+#: Least weighted variance of the distances, in steps squared, at which a line is fitted instead of a mean: any, and for two-sided grids.
+ANY_SPREAD, SPREAD = 1e-6, 0.01
 
 
 def readings(samples: DataFrame, key: str = "series_id", ts: str = "ts_ns", value: str = "value", step: str = "step_ns") -> DataFrame:
@@ -74,11 +76,12 @@ def empty_slots(samples: DataFrame, outage_ns: int = OUTAGE_NS) -> DataFrame:
     return with_previous(samples).select("key", "step", F.explode(_empty_run(outage_ns)).alias("slot"))
 
 
-def grid(samples: DataFrame, bandwidth: float = BANDWIDTH, min_support: float = MIN_SUPPORT, outage_ns: int = OUTAGE_NS) -> DataFrame:
+def grid(samples: DataFrame, bandwidth: float = BANDWIDTH, min_support: float = MIN_SUPPORT, outage_ns: int = OUTAGE_NS, two_sided: bool = False) -> DataFrame:
     """key, slot_ns, value, n_readings, support, missing, filled: one row per slot in service.
 
     ``samples`` needs series_id, ts_ns, value, step_ns. ``value`` is the fit where a slot has a reading
-    or enough support on both sides (``filled``), else null. ``missing`` marks slots without a reading.
+    or enough support (``filled``), else null. ``missing`` marks slots without a reading. ``two_sided``: an
+    empty slot also needs readings on both sides, and readings close together give their mean, not a line.
     """
     if not bandwidth > 0.5:
         raise ValueError("the bandwidth must exceed half a step, else a slot can miss its own readings")
@@ -91,17 +94,20 @@ def grid(samples: DataFrame, bandwidth: float = BANDWIDTH, min_support: float =
         d = offset - k
         w = F.when(~solid & (F.abs(d) < bandwidth), 1 - (d / bandwidth) * (d / bandwidth)).otherwise(zero)
         y = F.when(solid, zero).otherwise(F.col("value"))
-        cell.append(F.struct((F.col("slot") + k).alias("slot"), F.lit(int(k == 0)).alias("n"), F.lit(0).alias("gap"), w.alias("w"), (w * w).alias("ww"), (w * d).alias("wd"), (w * d * d).alias("wdd"), (w * y).alias("wy"), (w * d * y).alias("wdy")))
+        cell.append(F.struct((F.col("slot") + k).alias("slot"), F.lit(int(k == 0)).alias("n"), F.lit(0).alias("gap"), w.alias("w"), F.when(d < 0, w).otherwise(zero).alias("wb"), F.when(d > 0, w).otherwise(zero).alias("wa"), (w * w).alias("ww"), (w * d).alias("wd"), (w * d * d).alias("wdd"), (w * y).alias("wy"), (w * d * y).alias("wdy")))
     none = F.array().cast("array<bigint>")
-    gaps = F.transform(F.coalesce(_empty_run(outage_ns), none), lambda s: F.struct(s.alias("slot"), F.lit(0).alias("n"), F.lit(1).alias("gap"), *(zero.alias(c) for c in ("w", "ww", "wd", "wdd", "wy", "wdy"))))
+    gaps = F.transform(F.coalesce(_empty_run(outage_ns), none), lambda s: F.struct(s.alias("slot"), F.lit(0).alias("n"), F.lit(1).alias("gap"), *(zero.alias(c) for c in ("w", "wb", "wa", "ww", "wd", "wdd", "wy", "wdy"))))
     parts = rows.select("key", "step", F.explode(F.concat(F.array(*cell), gaps)).alias("c")).select("key", "step", "c.*").filter("n > 0 or gap > 0 or w > 0")
-    m = parts.groupBy("key", "step", "slot").agg(F.sum("n").alias("n"), F.max("gap").alias("gap"), *(F.sum(c).alias(c) for c in ("w", "ww", "wd", "wdd", "wy", "wdy")))
+    m = parts.groupBy("key", "step", "slot").agg(F.sum("n").alias("n"), F.max("gap").alias("gap"), *(F.sum(c).alias(c) for c in ("w", "wb", "wa", "ww", "wd", "wdd", "wy", "wdy")))
     m = m.filter("n > 0 or gap > 0")
     det = F.col("w") * F.col("wdd") - F.col("wd") * F.col("wd")
     line = (F.col("wdd") * F.col("wy") - F.col("wd") * F.col("wdy")) / det
-    fit = F.when(F.col("w") <= 0, None).when(det > 1e-6 * F.col("w") * F.col("w"), line).otherwise(F.col("wy") / F.col("w"))
+    fit = F.when(F.col("w") <= 0, None).when(det > (SPREAD if two_sided else ANY_SPREAD) * F.col("w") * F.col("w"), line).otherwise(F.col("wy") / F.col("w"))
     support = F.when(F.col("ww") > 0, F.col("w") * F.col("w") / F.col("ww")).otherwise(zero)
-    enough = (F.col("n") > 0) | (support >= min_support)
+    filling = support >= min_support
+    if two_sided:
+        filling &= (F.col("wb") > 0) & (F.col("wa") > 0)
+    enough = (F.col("n") > 0) | filling
     return m.select(
         "key",
         (F.col("slot") * F.col("step")).alias("slot_ns"),

@@ -45,7 +45,7 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 def p3_grid(spark: SparkSession, sf: str) -> DataFrame:
     prepare(spark)
     rows = _of_kind(spark, sf, "gauge").select("series_id", "ts_ns", "value", "step_ns")
-    return regular_grid.grid(rows).select(F.col("key").alias("series_id"), "slot_ns", "value", "n_readings", "support", "missing", "filled")
+    return regular_grid.grid(rows, two_sided=True).select(F.col("key").alias("series_id"), "slot_ns", "value", "n_readings", "support", "missing", "filled")
 
 
 def _day(col: str) -> Column:
