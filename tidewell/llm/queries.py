@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewell.llm import bpe, packing, percentiles, toxicity
 from tidewell.operators.common import DAY_NS, attach_dimension, floor_to, present
+from tidewell.operators.late_events import to_ns
 from tidewell.session import materialize, prepare
 from tidewell.sources.tables import table
 
@@ -18,13 +19,13 @@ CAPACITY = 2048
 
 
 def _values(spark: SparkSession, sf: str) -> DataFrame:
-    """source, series_id, metric, value of distinct rows with a value, of samples and input_log; series without a metric keep null."""
+    """source, series_id, metric, block (UTC day of the time in ns), value of distinct rows with a value, of samples and input_log; series without a metric keep null."""
     dim = table(spark, sf, "series_dim").filter("series_id is not null").groupBy("series_id").agg(F.max("metric").alias("metric"))
     samples = table(spark, sf, "samples").select("series_id", F.col("ts_ns").alias("ts"), "value")
     log = table(spark, sf, "input_log").select(F.col("id").alias("series_id"), F.col("ts_raw").alias("ts"), "value")
     parts = []
-    for name, rows in (("samples", samples), ("input_log", log)):
-        rows = rows.filter(present("value")).withColumn("block", floor_to(F.col("ts"), DAY_NS)).repartition("series_id", "block").dropDuplicates(["series_id", "block", "ts", "value"])
+    for name, rows, ns in (("samples", samples, F.col("ts")), ("input_log", log, to_ns(F.col("ts")))):
+        rows = rows.filter(present("value")).withColumn("block", floor_to(ns, DAY_NS)).repartition("series_id", "block").dropDuplicates(["series_id", "block", "ts", "value"])
         parts.append(attach_dimension(rows, dim, "series_id", ["ts"], "left").select(F.lit(name).alias("source"), "series_id", "metric", "block", "value"))
     return reduce(DataFrame.unionByName, parts)
 
@@ -40,11 +41,12 @@ def p2_percentiles(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p2_from_days(spark: SparkSession, sf: str) -> DataFrame:
-    """Percentiles per metric from day-wise histograms of 32 bits that are merged; value within error_bound of the exact one."""
+    """Percentiles per series and per metric from day-wise histograms of 32 bits that are merged; value within error_bound of the exact one."""
     prepare(spark)
-    days = percentiles.histograms(_values(spark, sf).filter("metric is not null"), ["source", "metric"], ["block"])
-    merged = percentiles.merge_histograms(days, ["source", "metric"])
-    return percentiles.percentiles_of_histograms(merged, ["source", "metric"], QS)
+    days = materialize(percentiles.histograms(_values(spark, sf).filter("series_id is not null"), ["source", "series_id", "metric"], ["block"]))
+    scopes = [days.filter(F.col(c).isNotNull()).select("source", F.lit(scope).alias("scope"), F.col(c).cast("string").alias("name"), "bucket", "n") for scope, c in (("series", "series_id"), ("metric", "metric"))]
+    merged = materialize(percentiles.merge_histograms(scopes, ["source", "scope", "name"]))
+    return percentiles.percentiles_of_histograms(merged, ["source", "scope", "name"], QS)
 
 
 def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
