@@ -38,7 +38,7 @@ def test_passages():
 
 def worst(model, text):
     batch = pa.RecordBatch.from_arrays([pa.array([text])], names=["_text"])
-    return next(T._score_batches(model)(iter([batch]))).column("score")[0].as_py()
+    return next(T._score_lists(model)(T._passage_lists(iter([batch])))).column("score")[0].as_py()
 
 
 def test_all_of_a_long_run_of_letters_counts():
@@ -70,9 +70,10 @@ def test_scorer_agrees_with_the_features():
     rng = np.random.default_rng(0)
     m = T.Model(rng.normal(size=T.DIM), 0.3)
     rows = [["one", "two", "three"], ["x"], ["12", "ab", "ab"], ["a" * 100, "word"]]
-    row, col, val = T.features(rows)
-    want = np.bincount(row, weights=val * m.weights[col], minlength=len(rows)) + m.bias
-    assert np.allclose(m.scorer()(rows), want)
+    x = T.Features(rows)
+    assert np.allclose(m.scorer()(rows), x.margins(m.weights) + m.bias)
+    d, w = rng.normal(size=len(rows)), rng.normal(size=T.DIM)
+    assert np.isclose(x.gradient(d) @ w, x.margins(w) @ d)
     assert len(m.scorer()([])) == 0
 
 
@@ -94,17 +95,45 @@ def reviews(spark):
     return spark.read.parquet(REVIEWS).filter("text is not null and offending is not null").select("sample_id", "text", "offending").collect()
 
 
-def test_held_out_reviews(spark, reviews):
+@pytest.fixture(scope="module")
+def corpus(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    unlabelled = T.unlabelled_passages(docs)
-    fit, held = [r for r in reviews if r.sample_id % 4], [r for r in reviews if not r.sample_id % 4]
-    model = T.fit([r.text for r in fit if r.offending], [r.text for r in fit if not r.offending], unlabelled)
-    s = model.scorer()
+    return [(p.split(" "), r["count"]) for r in T.prepared(docs).selectExpr("explode(_passages) AS p").groupBy("p").count().collect() for p in [r.p]]
+
+
+def held_out(reviews, corpus, aside):
+    fit, held = [r for r in reviews if not aside(r)], [r for r in reviews if aside(r)]
+    s = T.fit([r.text for r in fit if r.offending], [r.text for r in fit if not r.offending], corpus).scorer()
     found = np.array([max(s(T.passages(r.text)), default=-9) > T.MARGIN for r in held])
     truth = np.array([bool(r.offending) for r in held])
+    return (found & truth).sum() / max(1, truth.sum()), (found & truth).sum() / max(1, found.sum())
+
+
+def test_held_out_reviews(reviews, corpus):
+    recall, precision = held_out(reviews, corpus, lambda r: r.sample_id % 4 == 0)
     # a few judgements are wrong
-    assert (found & truth).sum() / truth.sum() > 0.88
-    assert (found & truth).sum() / found.sum() > 0.88
+    assert recall > 0.9 and precision > 0.9
+
+
+def wordings(reviews):
+    """A number per offending review; reviews whose shortest passages share most of their words have the same."""
+    heads, out = [], {}
+    for r in reviews:
+        found = T.passages(r.text)
+        if not r.offending or not found:
+            continue
+        words = frozenset(min(found, key=len))
+        at = next((i for i, h in enumerate(heads) if len(words & h) >= 0.45 * min(len(words), len(h))), len(heads))
+        if at == len(heads):
+            heads.append(words)
+        out[r.sample_id] = at
+    return out
+
+
+def test_held_out_wordings(reviews, corpus):
+    kind = wordings(reviews)
+    found = [held_out(reviews, corpus, lambda r, k=k: kind.get(r.sample_id, -1) % 4 == k and bool(r.offending))[0] for k in range(4)]
+    assert np.mean(found) > 0.6
 
 
 def test_scores_and_rates(spark):
@@ -112,10 +141,22 @@ def test_scores_and_rates(spark):
     reviews = spark.createDataFrame([(t, 1) for (t,) in bad] + [("the garden is open", 0), (None, 1), ("x", None)], "text string, offending int")
     texts = [None, "", " \n", "the garden is open", "The garden is open. Shut up, you nasty z0rg!", "the meadow near the town was painted. " * 5_000 + " shut up you nasty zorg"] + ["the meadow near the town was painted"] * 60
     docs = spark.createDataFrame([(i, "s" if i % 2 else None, t, 0.5) for i, t in enumerate(texts)], "doc_id bigint, source string, text string, score double")
-    model = T.train(docs, reviews)
-    got = {r.doc_id: r.score for r in T.scores(docs, model).collect()}
+    parts = T.prepared(docs)
+    model = T.train(parts, reviews)
+    got = {r.doc_id: r.score for r in T.scores(parts, model).collect()}
     assert len(got) == len(texts) and got[0] == got[1] == got[2] == 0.0
     assert got[4] > 0.5 and got[5] > 0.5 and got[3] < 0.5 and got[10] < 0.5
-    rate = {r.source: (r.docs, r.offending) for r in T.rates(T.scores(docs, model)).collect()}
+    rate = {r.source: (r.docs, r.offending) for r in T.rates(T.scores(parts, model)).collect()}
     assert rate == {"s": (33, 1), None: (33, 1)}
-    assert T.scores(docs.limit(0), model).collect() == []
+    assert T.scores(T.prepared(docs.limit(0)), model).collect() == []
+
+
+def test_bounds_leave_the_corpus_whole(spark):
+    reviews = spark.createDataFrame([(f"shut up you nasty zorg {i}", 1) for i in range(30)] + [("the garden is open", 0)], "text string, offending int")
+    texts = [f"the {a} near the {b} was painted" for a in ("garden", "meadow", "tower", "cellar") for b in ("river", "town", "wood", "hill")] * 20 + ["Shut up, you nasty z0rg!"] * 3
+    parts = T.prepared(spark.createDataFrame([(i, "s", t) for i, t in enumerate(texts)], "doc_id bigint, source string, text string"))
+    for most in (60_000, 8):
+        got = T.scores(parts, T.train(parts, reviews, max_even=most, max_hard=most)).filter("score >= 0.5").count()
+        assert got == 3
+    empty = T.train(parts.limit(0), reviews)
+    assert empty.scorer()([["nasty", "zorg"]])[0] > empty.scorer()([["garden", "open"]])[0]

@@ -77,8 +77,8 @@ def p7_fill(spark: SparkSession, sf: str) -> DataFrame:
 
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
     prepare(spark)
-    docs = table(spark, sf, "documents")
-    return toxicity.scores(docs, toxicity.train(docs, table(spark, sf, "review_samples")))
+    parts = materialize(toxicity.prepared(table(spark, sf, "documents")))
+    return toxicity.scores(parts, toxicity.train(parts, table(spark, sf, "review_samples")))
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:

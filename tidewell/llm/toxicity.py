@@ -4,18 +4,21 @@ A linear classifier over hashed words, word pairs, spelling keys and character g
 non-negative positive-unlabelled learning: passages that reviewers judged offending are the positives,
 passages of the corpus are unlabelled, and the risk of the negative class is the unlabelled risk less
 the prior's share of the positive one, held at or above zero. Passages that reviewers judged clean add
-a supervised term. A positive text may hold clean passages too, so from the second round on only its
-passages with the highest score stand for it.
+a supervised term of half the weight. A positive text may hold clean passages too, so from the second round
+on only its passages with the highest score stand for it.
+
+The unlabelled risk is estimated over the whole corpus: a first model scores every passage, those it can't
+dismiss enter the fit with their counts, and an even sample stands for the rest (see ``train``).
 
 Spelling is brought to a common form first (case, accents, look-alike letters, digits for letters, marks
 and spaces between letters, stretched letters), and a key of sorted letters meets swapped ones.
 
 A document's score is that of its worst passage. Documents are scored where they lie, in Arrow batches;
-only a source's counts are shuffled. The unlabelled sample is bounded by ``UNLABELLED_DOCS``.
+only counts of hard passages and of sources are shuffled.
 
 Defined cases: null, empty and blank texts score 0 and are not found; null source is a source; very long
 texts are scored passage by passage as a whole; null review texts or judgements are left out; without
-positive reviews fitting is an error.
+positive reviews fitting is an error; an empty corpus leaves the reviews alone to learn from.
 """
 
 from __future__ import annotations
@@ -32,24 +35,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.session import materialize
 from tidewell.shipping import ship
 
 ship(__name__)
 
-#: Bounds of the unlabelled sample: about so many documents, and so many different passages of them. Fitting reads no more of the corpus.
-UNLABELLED_DOCS, UNLABELLED_PASSAGES = 4_000, 60_000
+#: Different passages of the corpus in the even sample, and among those that a first model can't dismiss, that the fit reads; every
+#: passage is scored by the first model, and beyond these bounds each row stands for more of them.
+EVEN_PASSAGES, HARD_PASSAGES = 60_000, 60_000
+#: Margins of the first model above which a passage can't be dismissed, and of later ones above which an unlabelled passage counts as positive.
+HARD, SURE = -1.5, 1.0
 #: Bound of the reviewed texts that fitting reads.
 REVIEWS = 20_000
 DIM = 1 << 18
 #: Share of offending passages in the corpus assumed by the risk, weight of the reviewed clean passages, L2 penalty.
-PRIOR, CLEAN_WEIGHT, DECAY = 0.03, 1.0, 3e-5
-ROUNDS, STEPS, RATE = 2, 100, 0.05
+PRIOR, CLEAN_WEIGHT, DECAY = 0.03, 0.5, 3e-5
+ROUNDS, STEPS, RATE = 3, 100, 0.05
 #: Passages of more words than this are cut; as they are scored, the windows begin PASSAGE_STEP words apart.
 PASSAGE_WORDS, PASSAGE_STEP = 40, 20
 #: Runs of more letters than this, as in text without spaces, are scored in windows too, which begin RUN_STEP letters apart.
 RUN_LETTERS, RUN_STEP = 32, 16
 #: Score, from 0 to 1, from which a document counts as offending, and the margin and slope that it stands for.
-THRESHOLD, MARGIN, SLOPE = 0.5, 0.6, 4.0
+THRESHOLD, MARGIN, SLOPE = 0.5, 0.1, 4.0
+#: Column of a document's passages, each with its words parted by single spaces.
+PASSAGES = "_passages"
 
 # Letters of other scripts and signs that look like Latin letters.
 LOOKALIKES = str.maketrans("аеорсухіјѕнкмтвαοευικρτν", "aeopcyxijshkmtbaoeuikptv")
@@ -166,37 +175,49 @@ def _pairs(codes: np.ndarray) -> np.ndarray:
     return ((codes[:-1] * 0x9E3779B1 + codes[1:] * 0x85EBCA77) >> 7) & (DIM - 1)
 
 
-def features(rows: Sequence[Sequence[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sparse rows (row, feature, value) of passages, in the scale the scorer uses."""
-    row, col, val = array("q"), array("q"), array("d")
-    for r, words in enumerate(rows):
-        scale = 1.0 / (len(words) + 2.0) ** 0.5
-        first = []
-        for w in words:
+class Features:
+    """Passages as rows of hashed features in the scale the scorer uses, kept apart by word: a word's features are held once."""
+
+    def __init__(self, rows: Sequence[Sequence[str]]) -> None:
+        words: dict[str, int] = {}
+        self.word = np.asarray([words.setdefault(w, len(words)) for r in rows for w in r], np.int64)
+        sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+        self.rows, self.words = len(rows), len(words)
+        self.row = np.repeat(np.arange(len(rows)), sizes)
+        self.scale = 1.0 / np.sqrt(sizes + 2.0)
+        of, col, val, first = array("q"), array("q"), array("d"), np.zeros(len(words), np.int64)
+        for w, i in words.items():
             codes = word_codes(w)
-            first.append(codes[0])
             grams = len(codes) - 2
+            first[i] = codes[0]
+            of.extend([i] * len(codes))
             col.extend(c & (DIM - 1) for c in codes)
-            val.extend([scale] * min(2, len(codes)) + [scale / grams**0.5] * max(0, grams))
-            row.extend([r] * len(codes))
-        if len(first) > 1:
-            p = _pairs(np.asarray(first, np.int64))
-            col.extend(p.tolist())
-            val.extend([scale] * len(p))
-            row.extend([r] * len(p))
-    return np.frombuffer(row, np.int64), np.frombuffer(col, np.int64), np.frombuffer(val, np.float64)
+            val.extend([1.0] * min(2, len(codes)) + [1.0 / grams**0.5] * max(0, grams))
+        self.of, self.col, self.val = np.frombuffer(of, np.int64), np.frombuffer(col, np.int64), np.frombuffer(val, np.float64)
+        pairs, inside = _pairs(first[self.word]), self.row[1:] == self.row[:-1]
+        self.pair_row, self.pair = self.row[1:][inside], pairs[inside]
+
+    def margins(self, weights: np.ndarray) -> np.ndarray:
+        """The rows times the weights."""
+        part = np.bincount(self.of, weights=self.val * weights[self.col], minlength=self.words)
+        return self.scale * (np.bincount(self.row, weights=part[self.word], minlength=self.rows) + np.bincount(self.pair_row, weights=weights[self.pair], minlength=self.rows))
+
+    def gradient(self, d: np.ndarray) -> np.ndarray:
+        """The transposed rows times a derivative per row."""
+        d = d * self.scale
+        words = np.bincount(self.word, weights=d[self.row], minlength=self.words)
+        return np.bincount(np.concatenate([self.col, self.pair]), weights=np.concatenate([self.val * words[self.of], d[self.pair_row]]), minlength=DIM)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit_nnpu(x: tuple[np.ndarray, np.ndarray, np.ndarray], kind: np.ndarray, weight: np.ndarray, prior: float = PRIOR, clean_weight: float = CLEAN_WEIGHT, decay: float = DECAY, steps: int = STEPS, rate: float = RATE) -> Model:
-    """Full-batch Adam on the non-negative PU risk with the logistic loss.
+def fit_nnpu(x: Features, kind: np.ndarray, weight: np.ndarray, prior: float = PRIOR, clean_weight: float = CLEAN_WEIGHT, decay: float = DECAY, steps: int = STEPS, rate: float = RATE) -> Model:
+    """Full-batch Adam on the non-negative PU risk with the logistic loss; the model is the mean over the later half of the steps.
 
     ``kind``: 1 positive, 0 unlabelled, -1 reviewed clean; ``weight``: weight of each row in its kind.
     """
-    row, col, val = x
     n = len(kind)
     share = np.zeros(n)
     for k in (1, 0, -1):
@@ -206,9 +227,10 @@ def fit_nnpu(x: tuple[np.ndarray, np.ndarray, np.ndarray], kind: np.ndarray, wei
     pos, unl, neg = kind == 1, kind == 0, kind == -1
     w, b = np.zeros(DIM), 0.0
     m, v, mb, vb = np.zeros(DIM), np.zeros(DIM), 0.0, 0.0
+    mean, mean_b, late = np.zeros(DIM), 0.0, steps - steps // 2
     softplus = lambda z: np.logaddexp(0, z)
     for t in range(1, steps + 1):
-        g = np.bincount(row, weights=val * w[col], minlength=n) + b
+        g = x.margins(w) + b
         s = _sigmoid(g)
         minus = float((share[unl] * softplus(g[unl])).sum() - prior * (share[pos] * softplus(g[pos])).sum())
         d = np.zeros(n)
@@ -221,81 +243,130 @@ def fit_nnpu(x: tuple[np.ndarray, np.ndarray, np.ndarray], kind: np.ndarray, wei
             d[unl] = -share[unl] * s[unl]
         d[neg] = clean_weight * prior * share[neg] * s[neg]
         d[pos] += clean_weight * prior * share[pos] * (s[pos] - 1)
-        gw = np.bincount(col, weights=val * d[row], minlength=DIM) + decay * w
+        gw = x.gradient(d) + decay * w
         gb = d.sum()
         m, v = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw * gw
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         b -= rate * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.999**t)) + 1e-8)
-    return Model(w, float(b))
+        if t >= late:
+            mean += w
+            mean_b += b
+    return Model(mean / (steps - late + 1), float(mean_b / (steps - late + 1)))
+
 
+def fit(positive: Sequence[str], clean: Sequence[str], unlabelled: Sequence[tuple[list[str], float]], rounds: int = ROUNDS, **settings: float) -> Model:
+    """Fit from reviewed texts and from unlabelled passages with their weights.
 
-def fit(positive: Sequence[str], clean: Sequence[str], unlabelled: Sequence[tuple[list[str], int]], rounds: int = ROUNDS, **settings: float) -> Model:
-    """Fit from reviewed texts and from unlabelled passages with their counts."""
+    From the second round on only the best passages of a positive text stand for it, and from the third on
+    unlabelled passages above ``SURE`` count as positive.
+    """
     bags = [b for b in map(passages, positive) if b]
     if not bags:
         raise ValueError("there are no offending reviews to learn from")
     inside = [p for b in bags for p in b]
     bag = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
     good = [p for t in clean for p in passages(t)]
-    rows = inside + [p for p, _ in unlabelled] + good
-    kind = np.repeat([1, 0, -1], [len(inside), len(unlabelled), len(good)])
-    weight = np.concatenate([np.ones(len(inside)), np.array([n for _, n in unlabelled], float), np.ones(len(good))])
-    x = features(rows)
-    model = fit_nnpu(x, kind, weight, **settings)
-    for _ in range(1, rounds):
-        margin = model.scorer()(inside)
+    x = Features(inside + [p for p, _ in unlabelled] + good)
+    kinds = np.repeat([1, 0, -1], [len(inside), len(unlabelled), len(good)])
+    weights = np.concatenate([np.ones(len(inside)), np.array([n for _, n in unlabelled], float), np.ones(len(good))])
+    model = fit_nnpu(x, kinds, weights, **settings)
+    for r in range(1, rounds):
+        margin = x.margins(model.weights) + model.bias
+        own = margin[: len(inside)]
         best = np.full(len(bags), -np.inf)
-        np.maximum.at(best, bag, margin)
-        weight[: len(inside)] = (margin >= best[bag] - 1e-9) | (margin > 0)
+        np.maximum.at(best, bag, own)
+        kind, weight = kinds.copy(), weights.copy()
+        weight[: len(inside)] = (own >= best[bag] - 1e-9) | (own > 0)
+        if r > 1:
+            sure = (kinds == 0) & (margin > SURE)
+            kind[sure], weight[sure] = 1, 1.0
         model = fit_nnpu(x, kind, weight, **settings)
     return model
 
 
-def _passage_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _passage_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [" ".join(p) for t in batch.column(0).to_pylist() if t for p in passages(t)]
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["passage"])
+        found = [[" ".join(p) for p in scored_passages(t)] if t else [] for t in batch.column("_text").to_pylist()]
+        kept = [(c, batch.column(c)) for c in batch.schema.names if c != "_text"]
+        yield pa.RecordBatch.from_arrays([*(x for _, x in kept), pa.array(found, pa.list_(pa.string()))], names=[*(c for c, _ in kept), PASSAGES])
 
 
-def unlabelled_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", max_docs: int = UNLABELLED_DOCS, max_passages: int = UNLABELLED_PASSAGES) -> list[tuple[list[str], int]]:
-    """Different passages, with their counts, of a bounded sample of documents by the hash of their key."""
-    n, fine = docs.count(), 1 << 20
-    share = min(fine, -(-fine * max_docs // max(1, n)))
-    sample = docs.filter(F.pmod(F.xxhash64(key), F.lit(fine)) < share).select(text)
-    counts = sample.mapInArrow(_passage_rows, "passage string").groupBy("passage").agg(F.count("*").alias("n"))
-    rows = counts.orderBy(F.xxhash64("passage")).limit(max_passages).collect()
-    return [(r.passage.split(" "), r.n) for r in rows]
+def prepared(docs: DataFrame, keep: Sequence[str] = ("doc_id", "source"), text: str = "text") -> DataFrame:
+    """The columns ``keep`` of each document and its passages in common spelling: the one dear step. Give a written table of it to ``train`` and ``scores``."""
+    rows = docs.select(*keep, F.col(text).alias("_text"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text")
+    return rows.mapInArrow(_passage_lists, f"{schema}, {PASSAGES} array<string>")
 
 
-def train(docs: DataFrame, reviews: DataFrame, key: str = "doc_id", text: str = "text", max_reviews: int = REVIEWS) -> Model:
-    """Fit on the driver from bounded samples: reviews (text, offending) and unlabelled documents."""
-    judged = reviews.filter("text is not null and offending is not null").select("text", "offending")
-    judged = judged.orderBy(F.xxhash64("text")).limit(max_reviews).collect()
-    return fit([r.text for r in judged if r.offending], [r.text for r in judged if not r.offending], unlabelled_passages(docs, key, text))
+def _rows_of(column: pa.Array) -> tuple[list[str], np.ndarray]:
+    """All passages of a column of lists, and how many each list has."""
+    return column.flatten().to_pylist(), column.value_lengths().to_numpy(zero_copy_only=False)
+
+
+def _hard(model: Model, least: float):
+    """Passages whose margin exceeds a limit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        margins = model.scorer()
+        for batch in batches:
+            texts, _ = _rows_of(batch.column(0))
+            above = margins([t.split(" ") for t in texts]) > least
+            yield pa.RecordBatch.from_arrays([pa.array([t for t, x in zip(texts, above, strict=True) if x], pa.string())], names=["passage"])
+
+    return run
+
 
+def _bounded(passages_: DataFrame, n: int, most: int) -> tuple[list[tuple[str, int]], float]:
+    """Different passages with their counts, an even part of about ``most`` by hash where ``n`` exceeds that, and the part taken."""
+    fine = 1 << 20
+    part = min(fine, -(-fine * most // max(1, n)))
+    some = passages_ if part == fine else passages_.filter(F.pmod(F.xxhash64("passage"), F.lit(fine)) < part)
+    return sorted((r.passage, r.n) for r in some.groupBy("passage").agg(F.sum("n").alias("n")).collect()), part / fine
 
-def _score_batches(model: Model):
+
+def train(parts: DataFrame, reviews: DataFrame, max_reviews: int = REVIEWS, max_even: int = EVEN_PASSAGES, max_hard: int = HARD_PASSAGES) -> Model:
+    """Fit on reviews (text, offending) and on the passages of the whole corpus, given as ``prepared``.
+
+    A first model from the reviews and an even sample scores every passage of the corpus. The passages it
+    can't dismiss (margin above ``HARD``) are counted over the whole corpus and all of them enter the fit, or an
+    even part of about ``max_hard`` different ones; the others, nearly all, are represented by the even
+    sample. Each row weighs as many passages of the corpus as it stands for.
+    """
+    judged = reviews.filter("text is not null and offending is not null").select("text", "offending")
+    judged = judged.orderBy(F.xxhash64("text"), "text", "offending").limit(max_reviews).collect()
+    positive, clean = [r.text for r in judged if r.offending], [r.text for r in judged if not r.offending]
+    n = parts.agg(F.sum(F.size(PASSAGES))).first()[0] or 0
+    even, share = _bounded(parts.select(F.explode(PASSAGES).alias("passage"), F.lit(1).alias("n")), n, max_even)
+    even_rows = [(t.split(" "), c) for t, c in even]
+    first = fit(positive, clean, even_rows, rounds=1)
+    hard = parts.select(PASSAGES).mapInArrow(_hard(first, HARD), "passage string").groupBy("passage").agg(F.count("*").alias("n"))
+    hard = materialize(hard)
+    mined, part = _bounded(hard, hard.count(), max_hard)
+    easy = first.scorer()([p for p, _ in even_rows]) <= HARD
+    rows = [(p, c / share) for (p, c), e in zip(even_rows, easy, strict=True) if e] + [(t.split(" "), c / part) for t, c in mined]
+    return fit(positive, clean, rows)
+
+
+def _score_lists(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         margins = model.scorer()
         for batch in batches:
-            found = [scored_passages(t) if t else [] for t in batch.column("_text").to_pylist()]
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            worst = np.full(len(found), -np.inf)
-            if sizes.sum():
-                np.maximum.at(worst, np.repeat(np.arange(len(found)), sizes), margins([p for d in found for p in d]))
+            texts, sizes = _rows_of(batch.column(PASSAGES))
+            worst = np.full(batch.num_rows, -np.inf)
+            if texts:
+                np.maximum.at(worst, np.repeat(np.arange(len(sizes)), sizes), margins([t.split(" ") for t in texts]))
             score = np.where(np.isfinite(worst), _sigmoid(SLOPE * (worst - MARGIN)), 0.0)
-            kept = [batch.column(c) for c in batch.schema.names if c != "_text"]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(score)], names=[*(c for c in batch.schema.names if c != "_text"), "score"])
+            kept = [c for c in batch.schema.names if c != PASSAGES]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(score)], names=[*kept, "score"])
 
     return run
 
 
-def scores(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id", "source"), text: str = "text") -> DataFrame:
-    """The columns ``keep`` of each document and its ``score``."""
-    rows = docs.select(*keep, F.col(text).alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text")
-    return rows.mapInArrow(_score_batches(model), f"{schema}, score double")
+def scores(parts: DataFrame, model: Model) -> DataFrame:
+    """The other columns of ``prepared`` documents and their ``score``."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema if f.name != PASSAGES)
+    return parts.mapInArrow(_score_lists(model), f"{schema}, score double")
 
 
 def rates(scored: DataFrame, group: str = "source", threshold: float = THRESHOLD) -> DataFrame:
