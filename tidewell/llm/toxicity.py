@@ -29,6 +29,7 @@ import zlib
 from array import array
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -131,6 +132,20 @@ def word_codes(word: str) -> list[int]:
     return codes
 
 
+def _word_features(words: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each word's features the word's number, the feature and its value; and the first code of each word."""
+    of, col, val, first = array("q"), array("q"), array("d"), np.zeros(len(words), np.int64)
+    for i, w in enumerate(words):
+        codes = word_codes(w)
+        grams = len(codes) - 2
+        first[i] = codes[0]
+        of.extend([i] * len(codes))
+        col.extend(codes)
+        val.extend([1.0] * min(2, len(codes)))
+        val.extend([grams**-0.5] * max(0, grams))
+    return np.frombuffer(of, np.int64), np.frombuffer(col, np.int64) & (DIM - 1), np.frombuffer(val, np.float64), first
+
+
 @dataclass
 class Model:
     """Weights over hashed features and an intercept."""
@@ -139,34 +154,32 @@ class Model:
     bias: float
 
     def scorer(self):
-        """A function from passages to margins that remembers the part of each word."""
-        known: dict[str, tuple[float, int]] = {}
+        """A function from passages, as lists of words or as texts, to margins that remembers the part of each word."""
+        known: dict[str, int] = {}
+        part, code = np.zeros(0), np.zeros(0, np.int64)
         weights = self.weights
-        mask = DIM - 1
 
-        def margins(rows: Sequence[Sequence[str]]) -> np.ndarray:
+        def margins(rows: Sequence[Sequence[str]] | Sequence[str]) -> np.ndarray:
+            nonlocal known, part, code
             if not rows:
                 return np.zeros(0)
-            sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-            parts, hashes = [], []
-            for words in rows:
-                for w in words:
-                    p = known.get(w)
-                    if p is None:
-                        codes = word_codes(w)
-                        grams = codes[2:]
-                        part = sum(weights[c & mask] for c in codes[:2]) + (sum(weights[c & mask] for c in grams) / len(grams) ** 0.5 if grams else 0.0)
-                        if len(known) > 500_000:
-                            known.clear()
-                        known[w] = p = (float(part), codes[0])
-                    parts.append(p[0])
-                    hashes.append(p[1])
-            part, code = np.asarray(parts), np.asarray(hashes, np.int64)
+            if isinstance(rows[0], str):
+                words, sizes = " ".join(rows).split(" "), np.fromiter((t.count(" ") + 1 for t in rows), np.int64, len(rows))
+            else:
+                words, sizes = list(chain.from_iterable(rows)), np.fromiter(map(len, rows), np.int64, len(rows))
+            if len(known) > 500_000:
+                known, part, code = {}, np.zeros(0), np.zeros(0, np.int64)
+            if new := [w for w in dict.fromkeys(words) if w not in known]:
+                of, col, val, first = _word_features(new)
+                known |= zip(new, range(len(known), len(known) + len(new)), strict=True)
+                part = np.concatenate([part, np.bincount(of, weights=val * weights[col], minlength=len(new))])
+                code = np.concatenate([code, first])
+            at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
             ends = np.cumsum(sizes)
-            pair = np.zeros(len(part))
-            pair[1:] = weights[_pairs(code)]
+            pair = np.zeros(len(at))
+            pair[1:] = weights[_pairs(code[at])]
             pair[ends[:-1]] = 0.0
-            return np.add.reduceat(part + pair, ends - sizes) / np.sqrt(sizes + 2.0) + self.bias
+            return np.add.reduceat(part[at] + pair, ends - sizes) / np.sqrt(sizes + 2.0) + self.bias
 
         return margins
 
@@ -185,15 +198,7 @@ class Features:
         self.rows, self.words = len(rows), len(words)
         self.row = np.repeat(np.arange(len(rows)), sizes)
         self.scale = 1.0 / np.sqrt(sizes + 2.0)
-        of, col, val, first = array("q"), array("q"), array("d"), np.zeros(len(words), np.int64)
-        for w, i in words.items():
-            codes = word_codes(w)
-            grams = len(codes) - 2
-            first[i] = codes[0]
-            of.extend([i] * len(codes))
-            col.extend(c & (DIM - 1) for c in codes)
-            val.extend([1.0] * min(2, len(codes)) + [1.0 / grams**0.5] * max(0, grams))
-        self.of, self.col, self.val = np.frombuffer(of, np.int64), np.frombuffer(col, np.int64), np.frombuffer(val, np.float64)
+        self.of, self.col, self.val, first = _word_features(list(words))
         pairs, inside = _pairs(first[self.word]), self.row[1:] == self.row[:-1]
         self.pair_row, self.pair = self.row[1:][inside], pairs[inside]
 
@@ -311,7 +316,7 @@ def _hard(model: Model, least: float):
         margins = model.scorer()
         for batch in batches:
             texts, _ = _rows_of(batch.column(0))
-            above = margins([t.split(" ") for t in texts]) > least
+            above = margins(texts) > least
             yield pa.RecordBatch.from_arrays([pa.array([t for t, x in zip(texts, above, strict=True) if x], pa.string())], names=["passage"])
 
     return run
@@ -343,7 +348,7 @@ def train(parts: DataFrame, reviews: DataFrame, max_reviews: int = REVIEWS, max_
     hard = parts.select(PASSAGES).mapInArrow(_hard(first, HARD), "passage string").groupBy("passage").agg(F.count("*").alias("n"))
     hard = materialize(hard)
     mined, part = _bounded(hard, hard.count(), max_hard)
-    easy = first.scorer()([p for p, _ in even_rows]) <= HARD
+    easy = first.scorer()([t for t, _ in even]) <= HARD
     rows = [(p, c / share) for (p, c), e in zip(even_rows, easy, strict=True) if e] + [(t.split(" "), c / part) for t, c in mined]
     return fit(positive, clean, rows)
 
@@ -355,7 +360,7 @@ def _score_lists(model: Model):
             texts, sizes = _rows_of(batch.column(PASSAGES))
             worst = np.full(batch.num_rows, -np.inf)
             if texts:
-                np.maximum.at(worst, np.repeat(np.arange(len(sizes)), sizes), margins([t.split(" ") for t in texts]))
+                np.maximum.at(worst, np.repeat(np.arange(len(sizes)), sizes), margins(texts))
             score = np.where(np.isfinite(worst), _sigmoid(SLOPE * (worst - MARGIN)), 0.0)
             kept = [c for c in batch.schema.names if c != PASSAGES]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(score)], names=[*kept, "score"])
