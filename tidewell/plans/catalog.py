@@ -47,8 +47,7 @@ def dimension(series_names: DataFrame, series_id: str = "series_id", series: str
     """A dimension from ids and canonical names; repeats are dropped, bad names left out."""
     one = series_names.filter(F.col(series_id).isNotNull() & F.col(series).isNotNull()).groupBy(F.col(series_id).alias("series_id")).agg(F.min(series).alias("series"))
     # a generator of one row keeps the optimizer from parsing a name again for each use
-    parsed = F.struct(names.metric_of(F.col("series")).alias("metric"), names.tags_of(F.col("series")).alias("tags"))
-    return one.select("series_id", "series", F.inline(F.array(parsed))).filter("metric is not null")
+    return one.select("series_id", "series", F.inline(F.array_compact(F.array(names.parts_of(F.col("series"))))))
 
 
 def domain(spark: SparkSession, sf: str) -> Catalog:
