@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 import tidewell
 from tidewell.errors import EngineError
 from tidewell.functions.apply import FUNCTIONS
-from tidewell.plans.build import build, search, suggest
+from tidewell.plans.build import build, in_default_order, search, suggest
 from tidewell.plans.catalog import Catalog
 from tidewell.plans.spec import load, parse, parse_search, parse_suggest
 from tidewell.session import prepare
@@ -63,13 +63,13 @@ class Engine:
         return search(self.catalog, request)
 
     def cursor(self, request: str | Mapping[str, Any]) -> Cursor:
-        return Cursor(lambda: self.query(request))
+        return Cursor(lambda: self.query(in_default_order(parse(request))))
 
     def respond(self, path: str, request: str | Mapping[str, Any] = "{}") -> tuple[int, Iterator[str]]:
         """Status and lines of a request to /api/query, /api/suggest, /api/search, /api/stats, /api/function-names or /api/version."""
         try:
             if path == "/api/query":
-                q = parse(request)
+                q = in_default_order(parse(request))
                 out = self.query(q)
                 form, iso = q.format, q.iso
             elif path in ("/api/suggest", "/api/search"):

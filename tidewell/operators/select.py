@@ -67,16 +67,24 @@ def projected(series: DataFrame, q: Query) -> DataFrame:
     return out
 
 
-def selected(rows: DataFrame, series: DataFrame, q: Query) -> DataFrame:
-    """Rows in range of the selected series, with ``metric`` and ``tag_key``.
+def selection(series: DataFrame, q: Query) -> tuple[DataFrame, int | None]:
+    """series_id, metric and tag_key of the selected series, and a bound of their number where it is known.
 
-    Raises NotFound for metrics without series. The dimension is joined by broadcast after a count, else
-    with salted keys, so one series may hold any share of the rows.
+    Raises NotFound for metrics without series.
     """
     chosen = matching_series(series, q)
     sizes = {r.metric: r.n for r in chosen.groupBy("metric").agg(F.count("*").alias("n")).collect()} if q.metrics else {}
     needed = q.metrics[:1] if q.kind in ("join", "group-aggregate-join") else q.metrics
     if missing := [m for m in needed if m not in sizes]:
         raise NotFound(f"not found: {missing[0]}")
-    dim = projected(chosen, q).select("series_id", "metric", "tag_key")
-    return attach_dimension(in_range(rows, q.range), dim, "series_id", ["ts_ns"], rows=sum(sizes.values()) if q.metrics else None)
+    return projected(chosen, q).select("series_id", "metric", "tag_key"), sum(sizes.values()) if q.metrics else None
+
+
+def selected(rows: DataFrame, series: DataFrame, q: Query) -> DataFrame:
+    """Rows in range of the selected series, with ``metric`` and ``tag_key``.
+
+    The dimension is joined by broadcast after a count, else with salted keys, so one series may hold any
+    share of the rows.
+    """
+    dim, n = selection(series, q)
+    return attach_dimension(in_range(rows, q.range), dim, "series_id", ["ts_ns"], rows=n)

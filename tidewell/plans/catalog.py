@@ -7,26 +7,37 @@ series, and are joined in after a query has narrowed both sides.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.functions import names
+from tidewell.operators.aggregate import rollup
 from tidewell.operators.common import present
 from tidewell.plans.spec import Range
+from tidewell.session import materialize
 from tidewell.sources.tables import table
 
 #: Rows of some metrics in a range; a source may return more than that, never less.
 Scan = Callable[[Range | None, tuple[str, ...]], DataFrame]
 
 
+@dataclass(frozen=True)
+class Rollup:
+    """States (see ``operators.aggregate``) per series_id and period ``start_ns`` of ``step`` nanoseconds since 1970."""
+
+    states: DataFrame
+    step: int
+
+
 @dataclass(frozen=True)
 class Catalog:
     """samples: series_id, ts_ns, value; events: series_id, ts_ns, body; series: series_id, series, metric, tags.
 
     ``prune`` and ``prune_events`` give narrower readings than the whole tables where a source knows how
-    to skip data by range or metric. ``repeats``: rows may be repeated and count once.
+    to skip data by range or metric. ``repeats``: rows may be repeated and count once. With a ``rollup`` the
+    aggregates of whole periods are read from it.
     """
 
     samples: DataFrame
@@ -35,6 +46,7 @@ class Catalog:
     prune: Scan | None = None
     prune_events: Scan | None = None
     repeats: bool = False
+    rollup: Rollup | None = None
 
     def scan(self, r: Range | None, metrics: tuple[str, ...]) -> DataFrame:
         return self.prune(r, metrics) if self.prune else self.samples
@@ -43,6 +55,12 @@ class Catalog:
         return self.prune_events(r, metrics) if self.prune_events else self.events
 
 
+def rolled_up(cat: Catalog, step: int) -> Catalog:
+    """The catalog with a roll-up of its samples, written to the shared folder."""
+    rows = cat.samples.dropDuplicates(["series_id", "ts_ns", "value"]) if cat.repeats else cat.samples
+    return replace(cat, rollup=Rollup(materialize(rollup(rows, step, ["series_id"])), step))
+
+
 def dimension(series_names: DataFrame, series_id: str = "series_id", series: str = "series") -> DataFrame:
     """A dimension from ids and canonical names; repeats are dropped, bad names left out."""
     one = series_names.filter(F.col(series_id).isNotNull() & F.col(series).isNotNull()).groupBy(F.col(series_id).alias("series_id")).agg(F.min(series).alias("series"))

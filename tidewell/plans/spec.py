@@ -240,6 +240,8 @@ def parse(request: str | Mapping[str, Any]) -> Query:
     kind = made["kind"]
     if unknown := set(req) - {*STATEMENTS, *CLAUSES}:
         raise QueryError(f"unknown key {sorted(unknown)[0]}")
+    if kind == "names" and (unused := {"apply", "order-by", "range"} & set(req)):
+        raise QueryError(f"names of series take no {sorted(unused)[0]}")
     if "range" in req:
         made["range"] = _range(req["range"])
     elif kind not in ("aggregate", "names"):
