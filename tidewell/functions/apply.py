@@ -17,7 +17,11 @@ from pyspark.sql import functions as F
 from tidewell.errors import QueryError
 from tidewell.functions import sax
 from tidewell.functions.expr import compile_expression
-from tidewell.functions.ordered import along, running_sums
+from tidewell.functions.ordered import POSITION, along, folded, running_sums
+from tidewell.operators.anomaly import anomalies
+from tidewell.shipping import ship
+
+ship(__name__)
 
 #: Readings that an exponential average takes in before it predicts.
 EWMA_WARM = 11
@@ -67,6 +71,11 @@ def _regular(f: Frame, p: Mapping[str, Any]) -> None:
         raise QueryError(f"{p['name']} needs regular data; use it with group-aggregate")
 
 
+def _position(f: Frame) -> list[str]:
+    """The column of positions, where rows have it: steps that keep all rows keep it for the next one."""
+    return [c for c in (POSITION,) if c in f.rows.columns]
+
+
 def _rate(f: Frame, p: Mapping[str, Any]) -> Frame:
     def compute(df: DataFrame, w: WindowSpec) -> DataFrame:
         dt = F.col("ts_ns") - F.lag("ts_ns").over(w)
@@ -77,12 +86,12 @@ def _rate(f: Frame, p: Mapping[str, Any]) -> Frame:
 
 def _cusum(f: Frame, p: Mapping[str, Any]) -> Frame:
     out = running_sums(f.rows, "series", list(f.columns), f.backward)
-    return f.of(out.select("series", "ts_ns", *f.columns))
+    return f.of(out.select("series", "ts_ns", POSITION, *f.columns))
 
 
 def _cma(f: Frame, p: Mapping[str, Any]) -> Frame:
     out = running_sums(f.rows, "series", list(f.columns), f.backward)
-    return f.of(out.select("series", "ts_ns", *((F.col(c) / F.when(F.col(f"_seen_{c}") > 0, F.col(f"_seen_{c}"))).alias(c) for c in f.columns)))
+    return f.of(out.select("series", "ts_ns", POSITION, *((F.col(c) / F.when(F.col(f"_seen_{c}") > 0, F.col(f"_seen_{c}"))).alias(c) for c in f.columns)))
 
 
 def _sma(error: bool) -> Callable[[Frame, Mapping[str, Any]], Frame]:
@@ -100,34 +109,46 @@ def _sma(error: bool) -> Callable[[Frame, Mapping[str, Any]], Frame]:
     return run
 
 
+def _smoothed(decay: float, error: bool) -> Callable[[float | None], float | None]:
+    """One step of an exponential average; null for null. While it warms up a value foretells itself."""
+    n, level = 0, 0.0
+
+    def step(x: float | None) -> float | None:
+        nonlocal n, level
+        if x is None:
+            return None
+        guess = x if n < EWMA_WARM else level
+        n += 1
+        if n < EWMA_WARM:
+            level += x
+        else:
+            if n == EWMA_WARM:
+                level = (level + x) / EWMA_WARM
+            level = level * (1 - decay) + x * decay
+        return x - guess if error else guess
+
+    return step
+
+
 def _ewma(error: bool) -> Callable[[Frame, Mapping[str, Any]], Frame]:
-    """A fold over the buckets of a series, whose number is bounded by range and step."""
+    """One walk over the buckets of a series, whose number is bounded by range and step."""
 
     def run(f: Frame, p: Mapping[str, Any]) -> Frame:
         _regular(f, p)
         decay = _number(p, "decay")
-        rows = F.array_sort(F.collect_list(F.struct((-F.col("ts_ns") if f.backward else F.col("ts_ns")).alias("at"), "ts_ns", *f.columns)))
-        grouped = f.rows.groupBy("series").agg(rows.alias("r"))
-
-        def series_of(c: str) -> Column:
-            state = "struct<n:bigint,v:double,out:array<double>>"
-            start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0.0).alias("v"), F.array().cast("array<double>").alias("out")).cast(state)
-
-            def step(acc: Column, row: Column) -> Column:
-                x = row[c]
-                n = acc["n"] + 1
-                level = F.when(n < EWMA_WARM, acc["v"] + x).otherwise(F.when(n == EWMA_WARM, (acc["v"] + x) / EWMA_WARM).otherwise(acc["v"]) * (1 - decay) + x * decay)
-                guess = F.when(acc["n"] < EWMA_WARM, x).otherwise(acc["v"])
-                seen = F.struct(n.alias("n"), level.alias("v"), F.concat(acc["out"], F.array(x - guess if error else guess)).alias("out"))
-                missing = F.struct(acc["n"].alias("n"), acc["v"].alias("v"), F.concat(acc["out"], F.array(F.lit(None).cast("double"))).alias("out"))
-                return F.when(x.isNull(), missing).otherwise(seen).cast(state)
+        return f.of(folded(f.rows, "series", f.columns, lambda: _smoothed(decay, error), f.backward))
 
-            return F.aggregate("r", start, step)["out"]
+    return run
 
-        flat = grouped.select("series", F.explode(F.arrays_zip(F.col("r.ts_ns").alias("ts_ns"), *(series_of(c).alias(c) for c in f.columns))).alias("z"))
-        return f.of(flat.select("series", F.col("z").getField("ts_ns").alias("ts_ns"), *(F.col("z").getField(c).alias(c) for c in f.columns)))
 
-    return run
+def _anomalies(f: Frame, p: Mapping[str, Any]) -> Frame:
+    """The buckets whose value is an anomaly."""
+    _regular(f, p)
+    c = _scalar(f, p)
+    method = str(p.get("method", ""))
+    sketch = (int(_number(p, "hashes", 3)), 1 << int(_number(p, "bits", 10))) if method.endswith("-sketch") else None
+    out = anomalies(f.rows.select("series", "ts_ns", F.col(c).alias("value")), method.removesuffix("-sketch"), _number(p, "threshold"), _number(p, "alpha", 0), _number(p, "beta", 0), _number(p, "gamma", 0), int(_number(p, "period", 0)), sketch, f.backward)
+    return f.of(out.filter("anomaly").select("series", "ts_ns", "value"), ["value"])
 
 
 def _fold(unit: float, combine: Callable[[Column, Column], Column], start: float | None = None) -> Callable[[Frame, Mapping[str, Any]], Frame]:
@@ -138,7 +159,7 @@ def _fold(unit: float, combine: Callable[[Column, Column], Column], start: float
         lhs = start is not None and str(p.get("lhs_first", "false")).lower() == "true"
         cols = [F.coalesce(F.col(c), F.lit(unit if ignore else float("nan"))) for c in f.columns]
         first = cols[0] if lhs else (combine(F.lit(start), cols[0]) if start is not None else cols[0])
-        return f.of(f.rows.select("series", "ts_ns", reduce(combine, cols[1:], first).alias("value")), ["value"])
+        return f.of(f.rows.select("series", "ts_ns", *_position(f), reduce(combine, cols[1:], first).alias("value")), ["value"])
 
     return run
 
@@ -154,11 +175,11 @@ def _scale(f: Frame, p: Mapping[str, Any]) -> Frame:
     if not isinstance(w, list) or not w:
         raise QueryError("scale needs weights")
     by = [_number({"name": "scale", "w": x}, "w") for x in w]
-    return f.of(f.rows.select("series", "ts_ns", *((F.col(c) * by[i] if i < len(by) else F.col(c)).alias(c) for i, c in enumerate(f.columns))))
+    return f.of(f.rows.select("series", "ts_ns", *_position(f), *((F.col(c) * by[i] if i < len(by) else F.col(c)).alias(c) for i, c in enumerate(f.columns))))
 
 
 def _abs(f: Frame, p: Mapping[str, Any]) -> Frame:
-    return f.of(f.rows.select("series", "ts_ns", *(F.abs(c).alias(c) for c in f.columns)))
+    return f.of(f.rows.select("series", "ts_ns", *_position(f), *(F.abs(c).alias(c) for c in f.columns)))
 
 
 def _eval(f: Frame, p: Mapping[str, Any]) -> Frame:
@@ -179,7 +200,7 @@ def _top(f: Frame, p: Mapping[str, Any]) -> Frame:
         part = F.lag(c).over(w) * ((F.col("ts_ns") - F.lag("ts_ns").over(w)) / F.lit(1e9))
         return df.withColumn("_part", F.coalesce(part, F.lit(0.0)))
 
-    parts = along(f.rows.filter(F.col(c).isNotNull()), "series", compute, 1, f.backward)
+    parts = along(f.rows.filter(F.col(c).isNotNull()).drop(POSITION), "series", compute, 1, f.backward)
     sums = parts.groupBy("series").agg(F.max("ts_ns").alias("ts_ns"), F.sum("_part").alias("value"))
     return f.of(sums.orderBy(F.col("value").desc(), "series").limit(n), ["value"])
 
@@ -190,9 +211,9 @@ def _heavy(weighted: bool) -> Callable[[Frame, Mapping[str, Any]], Frame]:
     def run(f: Frame, p: Mapping[str, Any]) -> Frame:
         c, error, portion = _scalar(f, p), _number(p, "error"), _number(p, "portion")
         if error == 0:
-            raise QueryError("`error` can't be 0.")
+            raise QueryError(f"{p['name']}: error must differ from 0")
         if not 0 <= portion <= 1:
-            raise QueryError("`portion` must lie between 0 and 1")
+            raise QueryError(f"{p['name']}: portion lies outside 0 to 1")
         rows = f.rows.filter(F.col(c).isNotNull())
         weight = F.sum(c) if weighted else F.count("*").cast("double")
         counts = rows.groupBy("series").agg(weight.alias("value"), F.min("ts_ns").alias("ts_ns") if not f.backward else F.max("ts_ns").alias("ts_ns"))
@@ -230,6 +251,7 @@ FUNCTIONS: dict[str, Callable[[Frame, Mapping[str, Any]], Frame]] = {
     "frequent-items": _heavy(False),
     "heavy-hitters": _heavy(True),
     "sax": _sax,
+    "anomaly-detector": _anomalies,
 }
 
 
@@ -238,4 +260,4 @@ def run_steps(f: Frame, steps: Sequence[Mapping[str, Any]]) -> Frame:
         if p["name"] not in FUNCTIONS:
             raise QueryError(f"unknown function {p['name']}")
         f = FUNCTIONS[p["name"]](f, p)
-    return f
+    return Frame(f.rows.drop(POSITION), f.columns, f.names, f.backward, f.regular)

@@ -26,12 +26,12 @@ def letter(z: Column, letters: int) -> Column:
     return out
 
 
-def words(rows: DataFrame, alphabet: int, width: int, key: str = "series", backward: bool = False, small: int | None = None) -> DataFrame:
+def words(rows: DataFrame, alphabet: int, width: int, key: str = "series", backward: bool = False, **cut: int) -> DataFrame:
     """series, ts_ns, word of each window of ``width`` readings, without words equal to the one before."""
     if not 1 <= alphabet <= 20:
-        raise QueryError("`alphabet_size` should be in [1, 20] range")
+        raise QueryError("sax: alphabet_size lies outside 1 to 20")
     if width < 4:
-        raise QueryError("`window_width` should be 4 or more")
+        raise QueryError("sax: window_width is below 4")
 
     def compute(df: DataFrame, w: WindowSpec) -> DataFrame:
         frame = w.rowsBetween(-(width - 1), 0)
@@ -42,5 +42,5 @@ def words(rows: DataFrame, alphabet: int, width: int, key: str = "series", backw
         df = df.withColumn("word", F.when(F.size("_v") == width, text))
         return df.withColumn("_same", F.col("word").eqNullSafe(F.lag("word").over(w)))
 
-    out = along(rows.filter("value is not null"), key, compute, width, backward, small)
+    out = along(rows.filter("value is not null"), key, compute, width, backward, **cut)
     return out.filter("word is not null and not _same").select(key, "ts_ns", "word")
