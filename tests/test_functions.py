@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewell.errors import QueryError
 from tidewell.functions import names, ordered, sax, timefmt
+from tidewell.functions.apply import Frame, run_steps
 from tidewell.functions.apply import FUNCTIONS, Frame
 from tidewell.functions.expr import compile_expression
 from tidewell.plans.build import build
@@ -121,24 +122,64 @@ def test_sax_golden_words(spark):
     x = [0, 1, 2, 3, 0, 1, 2, 3, 0, 3, 0, 2, 1, 3]
     df = spark.createDataFrame([("s", i, float(v)) for i, v in enumerate(x)], "series string, ts_ns bigint, value double")
     want = "abcd bcda cdab dabc abcd bcda cdad dada adac dacb acbd".split()
-    for small in (None, 3):
-        assert [r.word for r in sax.words(df, 4, 4, small=small).orderBy("ts_ns").collect()] == want
-
-
-def test_large_groups_run_in_pieces_with_the_same_result(spark):
-    df = spark.createDataFrame([(f"s{k}", t * 7 % 501, float(t * t % 97)) for k in range(2) for t in range(500)], "series string, ts_ns bigint, value double").dropDuplicates(["series", "ts_ns"])
+    for cut in ({}, {"piece": 3}):
+        assert [r.word for r in sax.words(df, 4, 4, **cut).orderBy("ts_ns").collect()] == want
+
+
+def brute_along(data, backward):
+    """Mean of the five values before, sum so far and number so far of each row."""
+    out = set()
+    for k in {r[0] for r in data}:
+        own = sorted((r for r in data if r[0] == k), key=lambda r: r[1], reverse=backward)
+        for i, (_, t, v) in enumerate(own):
+            near, sofar = [x[2] for x in own[max(0, i - 5) : i] if x[2] is not None], [x[2] for x in own[: i + 1] if x[2] is not None]
+            out.add((k, t, round(sum(near) / len(near), 9) if near else None, sum(sofar) if v is not None else None, len(sofar)))
+    return out
+
+
+@pytest.mark.parametrize("piece", [ordered.PIECE, 60, 7])
+def test_pieces_give_what_whole_groups_give(spark, piece):
+    """A hot series, stray times at both ends, series of a single row, nulls."""
+    data = [("hot", t * 1000, float(t * t % 97)) for t in range(400)] + [("hot", 9_200_000_000_000_000_000, 1.0), ("hot", -9_200_000_000_000_000_000, 2.0)]
+    data += [(f"s{k}", t, None if t % 5 == 0 else float(t)) for k in range(9) for t in range(k)]
+    df = spark.createDataFrame(data, "series string, ts_ns bigint, value double").repartition(3)
     for backward in (False, True):
-        f = lambda d, w: d.withColumn("p", F.avg("value").over(w.rowsBetween(-5, -1)))
-        a = ordered.along(df, "series", f, 5, backward)
-        b = ordered.along(df, "series", f, 5, backward, small=60)
-        assert sorted(rows(a.select("series", "ts_ns", "p")), key=str) == sorted(rows(b.select("series", "ts_ns", "p")), key=str)
-        a = ordered.running_sums(df, "series", ["value"], backward)
-        b = ordered.running_sums(df, "series", ["value"], backward, small=60)
-        assert sorted(rows(a.select("series", "ts_ns", "value", "_seen_value"))) == sorted(rows(b.select("series", "ts_ns", "value", "_seen_value")))
+        once = ordered.numbered(df, "series", backward)
+        means = ordered.along(once, "series", lambda d, w: d.withColumn("p", F.round(F.avg("value").over(w.rowsBetween(-5, -1)), 9)), 5, backward, piece)
+        sums = ordered.running_sums(means.withColumn("v", F.col("value")), "series", ["v"], backward, piece)
+        got = rows(sums.select("series", "ts_ns", "p", "v", "_seen_v"))
+        assert len(got) == len(data) and set(got) == brute_along(data, backward)
     empty = df.limit(0)
     assert rows(ordered.running_sums(empty, "series", ["value"])) == []
 
 
+def test_a_chain_computes_its_input_once(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = spark.createDataFrame([("a", t, float(t)) for t in range(50)], "series string, ts_ns bigint, value double").mapInArrow(count, "series string, ts_ns bigint, value double")
+    steps = [{"name": "cusum"}, {"name": "scale", "weights": [2]}, {"name": "rate"}, {"name": "sma", "window-width": 1}]
+    out = run_steps(Frame(df, ("value",), {}), steps).rows
+    assert sorted(rows(out))[2] == ("a", 2, 2e9) and out.columns == ["series", "ts_ns", "value"]
+    assert seen.value == 50
+
+
+def test_averages_are_linear_and_keep_their_state_over_batches(spark):
+    n = 30_000
+    df = spark.createDataFrame([("a", t, float(t % 3)) for t in range(n)] + [("b", t, None if t == 5 else 1.0) for t in range(40)], "series string, ts_ns bigint, value double")
+    out = run_steps(Frame(df, ("value",), {}, False, True), [{"name": "ewma", "decay": 0.5}]).rows
+    got = {(r.series, r.ts_ns): r.value for r in out.collect()}
+    assert len(got) == n + 40 and got["b", 5] is None and got["b", 39] == 1.0
+    level = sum(float(t % 3) for t in range(11)) / 11 * 0.5 + float(10 % 3) * 0.5
+    for t in range(11, n):
+        assert got["a", t] == pytest.approx(level)
+        level = level * 0.5 + float(t % 3) * 0.5
+
+
 def test_names(spark):
     cases = {
         " cpu  b=2   a=1 ": ("cpu a=1 b=2", "cpu"),

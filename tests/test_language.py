@@ -5,6 +5,7 @@ from helpers import catalog, rows
 
 from tidewell.errors import NoData, NotFound, QueryError
 from tidewell.plans.build import build, search, suggest
+from tidewell.plans.catalog import rolled_up
 from tidewell.plans.spec import parse
 
 
@@ -15,23 +16,23 @@ def scan(spark):
 
 @pytest.fixture(scope="module")
 def groups(spark):
+    """Two metrics of eight machines in two halls: values rise by 3 per tick in hall n and fall by 2 in hall s."""
     out = []
-    for metric, sign in (("cpu.user", 1), ("cpu.syst", 1)):
+    for metric in ("fan.speed", "fan.noise"):
         for k in range(8):
-            for i in range(0, 10000, 111):
-                v = 1000 + 10 * i if k >= 4 else -10 - 10 * i
-                out.append((f"{metric} group={0 if k >= 4 else 1} key={k}", 100000 + 1000 * i, sign * v))
+            for i in range(90):
+                out.append((f"{metric} hall={'n' if k < 5 else 's'} unit={k}", 7_000 + 70 * i, 40.0 + 3 * i if k < 5 else -5.0 - 2 * i))
     return catalog(spark, out)
 
 
 @pytest.fixture(scope="module")
 def pair(spark):
+    """Flow counts the ticks, level is 11 times as much; 26 ticks a bucket of 1300."""
     out = []
     for k in range(4):
-        for i in range(10000 // 50):
-            i *= 50
-            out.append((f"cpu.user group={k // 2} key={k}", 100000 + 1000 * i, 1000 + 10 * i))
-            out.append((f"cpu.syst group={k // 2} key={k}", 100000 + 1000 * i, 100 * (1000 + 10 * i)))
+        for i in range(78):
+            out.append((f"flow side={'ab'[k % 2]} unit={k}", 500 + 50 * i, float(i)))
+            out.append((f"level side={'ab'[k % 2]} unit={k}", 500 + 50 * i, 11.0 * i))
     return catalog(spark, out)
 
 
@@ -54,41 +55,90 @@ def test_offset_then_limit(scan):
 
 
 def test_aggregate_names_and_values(groups):
-    out = {r[0]: r[2] for r in rows(build(groups, {"aggregate": {"cpu.user": "min", "cpu.syst": "max"}}))}
+    out = {r[0]: r[1:] for r in rows(build(groups, {"aggregate": {"fan.speed": "min", "fan.noise": "max"}}))}
     assert len(out) == 16
-    last = 9990
-    assert out["cpu.user:min group=0 key=4"] == 1000
-    assert out["cpu.user:min group=1 key=0"] == -10 - 10 * last
-    assert out["cpu.syst:max group=0 key=4"] == 1000 + 10 * last
-    assert out["cpu.syst:max group=1 key=0"] == -10
+    end = 7_000 + 70 * 89
+    assert out["fan.speed:min hall=n unit=0"] == (7_000, 40.0) and out["fan.speed:min hall=s unit=7"] == (end, -183.0)
+    assert out["fan.noise:max hall=n unit=4"] == (end, 307.0) and out["fan.noise:max hall=s unit=5"] == (7_000, -5.0)
 
 
 def test_aggregate_grouped(groups):
-    out = rows(build(groups, {"aggregate": {"cpu.user": "min", "cpu.syst": "max"}, "group-by": ["group"]}))
-    assert sorted(r[0] for r in out) == ["cpu.syst:max group=0", "cpu.syst:max group=1", "cpu.user:min group=0", "cpu.user:min group=1"]
+    out = rows(build(groups, {"aggregate": {"fan.speed": "min", "fan.noise": "max"}, "group-by": ["hall"]}))
+    assert sorted((r[0], r[2]) for r in out) == [("fan.noise:max hall=n", 307.0), ("fan.noise:max hall=s", -5.0), ("fan.speed:min hall=n", 40.0), ("fan.speed:min hall=s", -183.0)]
+
+
+_STEP = {"step": 1300, "metric": "flow", "func": "min"}
+_FROM = {"range": {"from": 500, "to": 4400}}
 
 
 def test_buckets_are_anchored_at_the_range(pair):
-    q = {"group-aggregate": {"step": 4000000, "metric": "cpu.user", "func": "min"}, "range": {"from": 100000, "to": 10100000}}
-    out = rows(build(pair, q))
-    assert sorted({(r[1], r[2]) for r in out}) == [(100000, 1000.0), (4100000, 41000.0), (8100000, 81000.0)]
-    assert {r[0] for r in out} == {f"cpu.user:min group={k // 2} key={k}" for k in range(4)}
+    out = rows(build(pair, {"group-aggregate": _STEP} | _FROM))
+    assert sorted({(r[1], r[2]) for r in out}) == [(500, 0.0), (1800, 26.0), (3100, 52.0)]
+    assert {r[0] for r in out} == {f"flow:min side={'ab'[k % 2]} unit={k}" for k in range(4)}
 
 
 def test_buckets_of_two_functions_and_metrics(pair):
-    q = {"group-aggregate": {"step": 4000000, "metric": ["cpu.user", "cpu.syst"], "func": ["min", "max"]}, "range": {"from": 100000, "to": 10100000}, "group-by-tag": ["key"]}
+    q = {"group-aggregate": _STEP | {"metric": ["flow", "level"], "func": ["min", "max"]}, "group-by-tag": ["unit"]} | _FROM
     out = rows(build(pair, q))
-    assert {r[0] for r in out} == {f"{m}:min|{m}:max group={g}" for m in ("cpu.user", "cpu.syst") for g in (0, 1)}
+    assert {r[0] for r in out} == {f"{m}:min|{m}:max side={x}" for m in ("flow", "level") for x in "ab"}
+    assert {r[2:] for r in out if r[0].startswith("level")} == {(0.0, 275.0), (286.0, 561.0), (572.0, 847.0)}
 
 
 def test_join_of_buckets_with_filters(pair):
-    q = {"group-aggregate-join": {"step": 4000000, "metric": ["cpu.user", "cpu.syst"], "func": "min"}, "range": {"from": 100000, "to": 10100000}}
+    q = {"group-aggregate-join": _STEP | {"metric": ["flow", "level"]}} | _FROM
     out = rows(build(pair, q))
-    assert len(out) == 12 and {r[2:] for r in out} == {(1000.0, 100000.0), (41000.0, 4100000.0), (81000.0, 8100000.0)}
-    one = rows(build(pair, q | {"filter": {"cpu.user": {"gt": 40000, "lt": 80000}}}))
-    assert len(one) == 12 and {r[2:] for r in one} == {(None, 100000.0), (41000.0, 4100000.0), (None, 8100000.0)}
-    both = rows(build(pair, q | {"filter": {"cpu.user": {"gt": 40000, "lt": 80000}, "cpu.syst": {"lt": 8000000}}}))
-    assert {r[2:] for r in both} == {(None, 100000.0), (41000.0, 4100000.0)} and len(both) == 8
+    assert len(out) == 12 and {r[2:] for r in out} == {(0.0, 0.0), (26.0, 286.0), (52.0, 572.0)}
+    one = rows(build(pair, q | {"filter": {"flow": {"gt": 20, "lt": 50}}}))
+    assert len(one) == 12 and {r[2:] for r in one} == {(None, 0.0), (26.0, 286.0), (None, 572.0)}
+    both = rows(build(pair, q | {"filter": {"flow": {"gt": 20, "lt": 50}, "level": {"lt": 500}}}))
+    assert {r[2:] for r in both} == {(None, 0.0), (26.0, 286.0)} and len(both) == 8
+
+
+ALL = ["min", "max", "sum", "count", "min_timestamp", "max_timestamp", "mean", "last", "first", "last_timestamp", "first_timestamp"]
+
+
+@pytest.fixture(scope="module")
+def ties(spark):
+    """Repeated values, and times that several series share."""
+    return catalog(spark, [(f"m a={k} b={k % 2}", t, float((t * 7 + k * 3) % 5)) for k in range(4) for t in range(0, 300, 1 + k % 2)])
+
+
+def brute_state(points):
+    v, t = [p[1] for p in points], [p[0] for p in points]
+    lo, hi, t0, t1 = min(v), max(v), min(t), max(t)
+    at = lambda x: float(min(p[0] for p in points if p[1] == x))
+    return (lo, hi, sum(v), float(len(v)), at(lo), at(hi), sum(v) / len(v), max(p[1] for p in points if p[0] == t1), min(p[1] for p in points if p[0] == t0), float(t1), float(t0))
+
+
+@pytest.mark.parametrize("grouping", [{}, {"pivot-by-tag": ["b"]}])
+@pytest.mark.parametrize("r", [(3, 290), (20, 260), (295, 11), (0, 999)])
+def test_rollups_and_raw_rows_give_the_same_as_brute_force(spark, ties, grouping, r):
+    data = [(s.series, x.ts_ns, x.value) for s in ties.series.collect() for x in ties.samples.filter(f"series_id = {s.series_id}").collect()]
+    name = lambda s: "b=" + s[-1] if grouping else s[2:]
+    begin, end = r
+    inside = [x for x in data if (begin <= x[1] < end if begin < end else end < x[1] <= begin)]
+    bucket = lambda t: begin + (t - begin) // 20 * 20 if begin < end else begin - (begin - t) // 20 * 20
+    cells, wholes = {}, {}
+    for s, t, v in inside:
+        cells.setdefault((name(s), bucket(t)), []).append((t, v))
+        wholes.setdefault(name(s), []).append((t, v))
+    for cat in (ties, rolled_up(ties, 10)):
+        q = {"group-aggregate": {"step": 20, "metric": "m", "func": ALL}, "range": {"from": begin, "to": end}} | grouping
+        assert {(x[0].split(" ", 1)[1], x[1]): pytest.approx(x[2:]) for x in rows(build(cat, q))} == {k: brute_state(p) for k, p in cells.items()}
+        for f in ("min", "max_timestamp", "last", "sum"):
+            got = {x[0].split(" ", 1)[1]: x[2] for x in rows(build(cat, {"aggregate": {"m": f}, "range": {"from": begin, "to": end}} | grouping))}
+            assert got == {k: pytest.approx(brute_state(p)[ALL.index(f)]) for k, p in wholes.items()}
+    assert rows(build(rolled_up(ties, 10), {"aggregate": {"m": "count"}})) != []
+
+
+def test_aggregates_never_sort_raw_rows(ties):
+    def plan(q):
+        return build(ties, q)._jdf.queryExecution().executedPlan().toString()
+
+    r = {"range": {"from": 0, "to": 300}}
+    for q in [{"aggregate": {"m": f}} for f in ALL] + [{"group-aggregate": {"step": 10, "metric": "m", "func": [f for f in ALL if not f.endswith("in_timestamp") and not f.endswith("ax_timestamp")]}}]:
+        # the dimension may be sorted, it has one row per series
+        assert not [x for x in plan(q | r).split("\n") if "SortAggregate" in x and "tag_key" in x], q
 
 
 def test_join_needs_series_of_the_first_metric_only(spark):
@@ -140,14 +190,17 @@ def test_empty_range_and_unknown_names(scan):
 
 def test_metadata(groups):
     assert len(rows(build(groups, {"select": "meta:names"}))) == 16
-    assert len(rows(build(groups, {"select": "meta:names:cpu.user", "where": {"group": ["0"]}}))) == 4
-    assert rows(suggest(groups, {"select": "metric-names", "starts-with": "cpu.u"})) == [("cpu.user",)]
-    assert sorted(rows(suggest(groups, {"select": "tag-names", "metric": "cpu.user"}))) == [("group",), ("key",)]
-    assert sorted(rows(suggest(groups, {"select": "tag-values", "metric": "cpu.user", "tag": "key", "starts-with": "7"}))) == [("7",)]
-    assert len(rows(search(groups, {"select": "", "where": {"key": "1"}}))) == 2
+    assert len(rows(build(groups, {"select": "meta:names:fan.speed", "where": {"hall": ["n"]}}))) == 5
+    assert rows(suggest(groups, {"select": "metric-names", "starts-with": "fan.s"})) == [("fan.speed",)]
+    assert sorted(rows(suggest(groups, {"select": "tag-names", "metric": "fan.speed"}))) == [("hall",), ("unit",)]
+    assert sorted(rows(suggest(groups, {"select": "tag-values", "metric": "fan.speed", "tag": "unit", "starts-with": "7"}))) == [("7",)]
+    assert len(rows(search(groups, {"select": "", "where": {"unit": "1"}}))) == 2
 
 
 BAD = [
+    '{"select": "meta:names", "apply": [{"name": "abs"}]}',
+    '{"select": "meta:names", "order-by": "time"}',
+    '{"select": "meta:names", "range": {"from": 1, "to": 2}}',
     '{"select": ',
     '["select"]',
     '{"range": {"from": 1, "to": 2}}',

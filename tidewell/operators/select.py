@@ -67,17 +67,17 @@ def projected(series: DataFrame, q: Query) -> DataFrame:
     return out
 
 
-def selection(series: DataFrame, q: Query) -> tuple[DataFrame, int | None]:
-    """series_id, metric and tag_key of the selected series, and a bound of their number where it is known.
+def selection(series: DataFrame, q: Query) -> tuple[DataFrame, tuple[int, int] | None]:
+    """series_id, metric and tag_key of the selected series, and bounds of their rows and bytes where they are known.
 
     Raises NotFound for metrics without series.
     """
     chosen = matching_series(series, q)
-    sizes = {r.metric: r.n for r in chosen.groupBy("metric").agg(F.count("*").alias("n")).collect()} if q.metrics else {}
+    sizes = {r.metric: (r.n, r.b) for r in chosen.groupBy("metric").agg(F.count("*").alias("n"), F.sum(F.octet_length("series") + F.octet_length("metric")).alias("b")).collect()} if q.metrics else {}
     needed = q.metrics[:1] if q.kind in ("join", "group-aggregate-join") else q.metrics
     if missing := [m for m in needed if m not in sizes]:
         raise NotFound(f"not found: {missing[0]}")
-    return projected(chosen, q).select("series_id", "metric", "tag_key"), sum(sizes.values()) if q.metrics else None
+    return projected(chosen, q).select("series_id", "metric", "tag_key"), (sum(n for n, _ in sizes.values()), sum(b for _, b in sizes.values())) if q.metrics else None
 
 
 def selected(rows: DataFrame, series: DataFrame, q: Query) -> DataFrame:
@@ -87,4 +87,4 @@ def selected(rows: DataFrame, series: DataFrame, q: Query) -> DataFrame:
     share of the rows.
     """
     dim, n = selection(series, q)
-    return attach_dimension(in_range(rows, q.range), dim, "series_id", ["ts_ns"], rows=n)
+    return attach_dimension(in_range(rows, q.range), dim, "series_id", ["ts_ns"], size=n)

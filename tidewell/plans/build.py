@@ -58,11 +58,11 @@ def _states(cat: Catalog, q: Query) -> DataFrame:
         return aggregate.states(aggregate.with_bucket(rows, q) if q.step else rows, keys, **aggregate.needs(q))
     dim, n = selection(cat.series, q)
     start, ts = F.col("start_ns"), F.col("ts_ns")
-    whole = attach_dimension(roll.states.filter((start >= inside[0]) & (start < inside[1])), dim, "series_id", ["start_ns"], rows=n)
+    whole = attach_dimension(roll.states.filter((start >= inside[0]) & (start < inside[1])), dim, "series_id", ["start_ns"], size=n)
     parts = [(aggregate.with_bucket(whole, q, "start_ns") if q.step else whole).select(*keys, *aggregate.STATE)]
     if q.range is not None:
         ends = in_range(cat.scan(q.range, q.metrics), q.range).filter((ts < inside[0]) | (ts >= inside[1]))
-        rows = _distinct(cat, attach_dimension(ends, dim, "series_id", ["ts_ns"], rows=n))
+        rows = _distinct(cat, attach_dimension(ends, dim, "series_id", ["ts_ns"], size=n))
         parts.append(aggregate.as_states(aggregate.with_bucket(rows, q) if q.step else rows, keys))
     return aggregate.merged(reduce(DataFrame.unionByName, parts), keys)
 

@@ -6,6 +6,8 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,11 +55,33 @@ def materialize(df: DataFrame) -> DataFrame:
 
     The table is removed when the Python process ends.
     """
+    out, path = _written(df)
+    atexit.register(_remove, df.sparkSession, path)
+    return out
+
+
+@contextmanager
+def scope() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """``materialize`` for the length of a block, for loads that go on for weeks: its tables are removed when the block ends."""
+    made: list[tuple[SparkSession, str]] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        out, path = _written(df)
+        made.append((df.sparkSession, path))
+        return out
+
+    try:
+        yield keep
+    finally:
+        for spark, path in made:
+            _remove(spark, path)
+
+
+def _written(df: DataFrame) -> tuple[DataFrame, str]:
     spark = prepare(df.sparkSession)
     path = f"{shared_folder(spark)}/tidewell-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.parquet(path)
+    return spark.read.parquet(path), path
 
 
 def _remove(spark: SparkSession, path: str) -> None:

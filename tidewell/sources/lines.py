@@ -43,10 +43,10 @@ def parse_put(lines: DataFrame, line: str = "value", canonical_names: bool = Tru
     # a generator of one row keeps the optimizer from copying the parsing into each use of its results
     made = rows.select(F.inline(F.array(parsed)))
     error = (
-        F.when(F.col("_verb") != "put", F.lit("unknown command"))
-        .when(F.col("series").isNull(), F.lit("put: invalid series name format"))
-        .when(F.col("ts_ns").isNull(), F.lit("put: invalid timestamp format"))
-        .when(F.col("value").isNull(), F.lit("put: bad floating point value"))
+        F.when(F.col("_verb") != "put", F.lit("unknown verb"))
+        .when(F.col("series").isNull(), F.lit("put needs a series name with tags"))
+        .when(F.col("ts_ns").isNull(), F.lit("put needs a time"))
+        .when(F.col("value").isNull(), F.lit("put needs a value"))
     )
     bad = error.isNotNull()
     return made.select(*(F.when(~bad, F.col(c)).alias(c) for c in ("series", "ts_ns", "value")), error.alias("error"))

@@ -11,11 +11,13 @@ broken frame has no meaning.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
+import pyarrow as pa
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
+from pyspark.sql.streaming import DataStreamReader
 
 from tidewell.errors import QueryError
 from tidewell.functions.timefmt import parse_timestamp
@@ -25,6 +27,8 @@ ship(__name__)
 ship("tidewell.functions.timefmt")
 ship("tidewell.errors")
 
+#: Suffix of complete files of frames.
+SUFFIX = ".resp"
 SCHEMA = "series string, ts_ns bigint, value double, body string, error string"
 # Limits of the protocol in bytes and metrics.
 MAX_STRING, MAX_BULK, MAX_EVENT, MAX_ROW = 1024, 1 << 20, 4096, 256
@@ -95,12 +99,15 @@ def _value(t: Token, event: bool) -> tuple[float | None, str | None]:
         raise BadFrame(f"can't parse value {t.value!r}") from None
 
 
-def parse_frames(data: bytes) -> Iterator[tuple[str | None, int | None, float | None, str | None, str | None]]:
-    """Rows of a buffer in the order of ``SCHEMA``."""
-    known: dict[int, list[str]] = {}
+Row = tuple[str | None, int | None, float | None, str | None, str | None]
+
+
+def parse_frames(data: bytes, known: dict[int, list[str]] | None = None) -> Iterator[Row]:
+    """Rows of a buffer in the order of ``SCHEMA``. With ``known``, names by id, the buffer goes on a stream whose dictionary was read."""
+    first = known is None
+    known = {} if known is None else known
     try:
         it = tokens(data)
-        first = True
         for t in it:
             if first and t.kind == "array":
                 if t.value % 2:
@@ -134,10 +141,10 @@ def parse_frames(data: bytes) -> Iterator[tuple[str | None, int | None, float |
             values = [got]
             if got.kind == "array":
                 if got.value != len(names):
-                    raise BadFrame("wrong array size")
+                    raise BadFrame(f"{len(names)} values were expected")
                 values = [next(it) for _ in names]
             elif len(names) > 1:
-                raise BadFrame("array expected (bulk format)")
+                raise BadFrame("several metrics need an array of values")
             rows = [(n, ts, *_value(v, n.startswith("!")), None) for n, v in zip(names, values, strict=True)]
             yield from rows
     except StopIteration:
@@ -148,69 +155,30 @@ def parse_frames(data: bytes) -> Iterator[tuple[str | None, int | None, float |
         yield None, None, None, None, str(e)
 
 
-@dataclass
-class _File(InputPartition):
-    path: str
-
-
-def _files(path: str) -> list[str]:
-    """Complete files of a folder, or the file itself; names that start with a dot or underscore are being written."""
-    if os.path.isfile(path):
-        return [path]
-    return sorted(e.path for e in os.scandir(path) if e.is_file() and e.name[0] not in "._")
-
-
-def _rows(part: _File):
-    with open(part.path, "rb") as f:
-        yield from parse_frames(f.read())
-
-
-class _Reader(DataSourceReader):
-    def __init__(self, path: str) -> None:
-        self.path = path
-
-    def partitions(self):
-        return [_File(p) for p in _files(self.path)]
-
-    def read(self, partition):
-        return _rows(partition)
-
-
-class _StreamReader(DataSourceStreamReader):
-    """New files of a folder, in the order of their names; the offset is the last name read."""
-
-    def __init__(self, path: str) -> None:
-        self.path = path
-
-    def initialOffset(self):
-        return {"last": ""}
-
-    def latestOffset(self):
-        names = [os.path.basename(p) for p in _files(self.path)]
-        return {"last": names[-1] if names else ""}
-
-    def partitions(self, start, end):
-        return [_File(p) for p in _files(self.path) if start["last"] < os.path.basename(p) <= end["last"]]
-
-    def read(self, partition):
-        return _rows(partition)
+def _of_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = [pa.string(), pa.int64(), pa.float64(), pa.string(), pa.string()]
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
+    for batch in batches:
+        for content in batch.column(0):
+            rows = parse_frames(memoryview(content.as_buffer()).tobytes())
+            while part := list(islice(rows, 50_000)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part, strict=True), kinds, strict=True)], names=names)
 
-    def commit(self, end):
-        pass
 
+def _files(reader: DataFrameReader | DataStreamReader, path: str) -> DataFrame:
+    files = reader.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("pathGlobFilter", f"*{SUFFIX}").load(path)
+    return files.select("content").mapInArrow(_of_files, SCHEMA)
 
-class RespSource(DataSource):
-    """``spark.read.format("tidewell_resp").load(path)`` and the same of ``readStream``; the folder must be shared."""
 
-    @classmethod
-    def name(cls) -> str:
-        return "tidewell_resp"
+def read_frames(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of the files of frames in a folder of any file system that Spark reads.
 
-    def schema(self) -> str:
-        return SCHEMA
+    A file is read as a whole by one task, as frames only make sense in order; listeners roll their files
+    at 64 MB. Names that start with a dot or underscore, and other suffixes, are being written.
+    """
+    return _files(spark.read, path)
 
-    def reader(self, schema):
-        return _Reader(self.options["path"])
 
-    def streamReader(self, schema):
-        return _StreamReader(self.options["path"])
+def stream_frames(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
+    """The same as a stream: each file once, whatever its name and whenever it appears, as Spark notes the files it has seen."""
+    return _files(spark.readStream.option("maxFilesPerTrigger", files_per_batch), path)

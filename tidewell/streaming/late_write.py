@@ -1,38 +1,53 @@
-"""The append-only rule on a stream: state is the last accepted time of each series."""
+"""The append-only rule on a stream: state is the last accepted time of each series.
+
+A row is accepted if its time lies after all times before it in its series, so a running maximum decides.
+Within a micro-batch it comes from the batch form, which splits large series; across micro-batches only the
+latest time per series is state, kept in a folder like a store's. Python sees no row.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from tidewell.shipping import ship
-
-ship(__name__)
+from pyspark.sql import functions as F
 
-OUTPUT = "series string, ts_ns bigint, value double, seq bigint, accepted boolean"
+from tidewell.operators import late_write
+from tidewell.operators.common import attach_dimension
+from tidewell.session import scope
 
 
-def _judge(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
-    last = state.get[0] if state.exists else None
-    flags = []
-    for ts in rows["ts_ns"].tolist():
-        ok = last is None or ts > last
-        flags.append(ok)
-        if ok:
-            last = ts
-    state.update((last,))
-    yield rows.assign(series=key[0], accepted=flags)[["series", "ts_ns", "value", "seq", "accepted"]]
+class LateRule:
+    """For ``foreachBatch``: hands each micro-batch, with ``accepted``, to a sink.
 
-
-def mark_late(stream: DataFrame) -> DataFrame:
-    """series, ts_ns, value, seq (order of arrival) in; the same with ``accepted`` out.
-
-    Rows of a series in one micro-batch are held together in one task; their number is bounded by the
-    source's rate limit. Rows with null series, time or order don't pass.
+    ``path`` is a folder for the last times. Rows have series, ts_ns, seq (order of arrival) and whatever
+    else. A repeated batch is judged as the first time. Rows with null series, time or order are rejected.
     """
-    src = stream.filter("series is not null and ts_ns is not null and seq is not null").select("series", "ts_ns", "value", "seq")
-    return src.groupBy("series").applyInPandasWithState(_judge, OUTPUT, "last bigint", "append", GroupStateTimeout.NoTimeout)
+
+    def __init__(self, path: str, sink: Callable[[DataFrame, int], None]) -> None:
+        self.path, self.sink = path, sink
+
+    def _before(self, like: DataFrame, batch: int) -> DataFrame | None:
+        spark = like.sparkSession
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(at):
+            return None
+        names = sorted((int(x.getPath().getName()[6:]) for x in fs.listStatus(at) if x.getPath().getName().startswith("batch=")), reverse=True)
+        older = [n for n in names if n < batch]
+        for n in older[1:]:  # a repeated batch needs the latest of them
+            fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at, f"batch={n}"), True)
+        return spark.read.parquet(f"{self.path}/batch={older[0]}") if older else None
+
+    def __call__(self, rows: DataFrame, batch: int) -> None:
+        last = self._before(rows, batch)
+        with scope() as keep:
+            judged = late_write.mark_late(rows)
+            if last is not None:
+                mine = keep(last.join(rows.select("series").distinct(), "series", "left_semi"))
+                judged = attach_dimension(judged, mine, "series", ["seq"], "left")
+                judged = judged.withColumn("accepted", F.col("accepted") & (F.col("last").isNull() | (F.col("ts_ns") > F.col("last")))).drop("last")
+            judged = keep(judged)
+            tops = judged.filter("accepted").groupBy("series").agg(F.max("ts_ns").alias("last"))
+            (tops if last is None else last.unionByName(tops).groupBy("series").agg(F.max("last").alias("last"))).write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+            self.sink(judged, batch)
