@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from typing import Any
 
@@ -9,20 +10,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.functions.names import canonical
+from tidewell.functions.timefmt import iso_column
 from tidewell.operators import aggregate, meta
 from tidewell.operators.anomaly import anomalies
 from tidewell.operators.late_write import mark_late
 from tidewell.operators.select import matching_series
 from tidewell.plans.build import build, search, suggest
-from tidewell.plans.catalog import clicks, domain
+from tidewell.plans.catalog import clicks, domain, rolled_up
 from tidewell.plans.spec import Range, parse
-from tidewell.session import prepare
+from tidewell.session import prepare, remove_at_exit, shared_folder
 from tidewell.sinks.text import csv_lines, resp_frames
 from tidewell.sources.lines import parse_bulk, parse_put
+from tidewell.sources.resp import MAX_ROW, read_frames
 from tidewell.sources.tables import table
+from tidewell.streaming.ingest import Store
 
-FROM, TO = "20240105T000000", "20240125T000000"
-A, B = 1704412800000000000, 1706140800000000000
+#: Beyond the times of the table on both sides.
+FROM, TO = "20231201T000000", "20240301T000000"
+A, B = 1701388800000000000, 1709251200000000000
 FORWARD, BACKWARD = {"from": FROM, "to": TO}, {"from": TO, "to": FROM}
 STEP, STEP_NS = "6h", 21_600_000_000_000
 
@@ -71,7 +76,8 @@ _ROWS = " SELECT metric || ' ' || tags AS series, ts_ns, value FROM r"
 # scans, predicates, series selection
 ask("select_forward", {"select": "click", "range": FORWARD}, _click() + _ROWS)
 ask("select_backward", {"select": "click", "range": BACKWARD}, _click(BW) + _ROWS)
-ask("select_where_values", {"select": "click", "range": FORWARD, "where": {"cohort": ["1", "2"], "user": [str(u) for u in range(0, 120, 5)]}}, _click(more="AND u % 4 IN (1, 2) AND u IN (0,5,10,15,20,25,30,35,40,45,50,55,60,65,70,75,80,85,90,95,100,105,110,115)") + _ROWS)
+ask("select_narrow_range", {"select": "click", "range": {"from": "20240105T000000", "to": "20240125T000000"}}, _click("ts_ns >= 1704412800000000000 AND ts_ns < 1706140800000000000") + _ROWS)
+ask("select_where_values", {"select": "click", "range": FORWARD, "where": {"cohort": ["1", "2"]}}, _click(more="AND u % 4 IN (1, 2)") + _ROWS)
 ask("select_where_exact", {"select": "click", "range": FORWARD, "where": [{"cohort": "1", "user": "5"}, {"user": "10", "cohort": "2"}, {"user": "7"}]}, _click(more="AND u IN (5, 10)") + _ROWS)
 ask("select_filter_gt_lt", {"select": "click", "range": FORWARD, "filter": {"gt": 20, "lt": 80}}, _click(more="AND value > 20 AND value < 80") + _ROWS)
 ask("select_filter_ge_le", {"select": "click", "range": FORWARD, "filter": {"click": {"ge": 20, "le": 80}}}, _click(more="AND value >= 20 AND value <= 80") + _ROWS)
@@ -198,7 +204,7 @@ ask(
 _HEAVY = ", c AS (SELECT tags, min(ts_ns) AS ts_ns, {w} AS v FROM r GROUP BY 1) SELECT 'click ' || tags AS series, ts_ns, round(v, 6) AS value FROM c WHERE v > (SELECT sum(v) FROM c) * 0.007::DOUBLE"
 ask("apply_frequent_items", {"select": "click", "range": FORWARD} | fn("frequent-items", error=0.001, portion=0.007), _click() + _HEAVY.format(w="CAST(count(*) AS DOUBLE)"), 6)
 ask("apply_heavy_hitters", {"select": "click", "range": FORWARD} | fn("heavy-hitters", error=0.001, portion=0.007), _click() + _HEAVY.format(w="sum(value)"), 6)
-ask("apply_chain", {"select": "click", "range": FORWARD, "apply": [{"name": "cusum"}, {"name": "scale", "weights": [2]}, {"name": "rate"}], "limit": 200}, _click() + ", c AS (SELECT 'click ' || tags AS series, ts_ns, value, lag(ts_ns) OVER w AS p FROM r WINDOW w AS (PARTITION BY tags ORDER BY ts_ns)) SELECT series, ts_ns, round(CASE WHEN p IS NOT NULL THEN 2 * value / (ts_ns - p)::DOUBLE * 1000000000 END, 6) AS value FROM c ORDER BY ts_ns, series LIMIT 200", 6)
+ask("apply_chain", {"select": "click", "range": FORWARD, "apply": [{"name": "cusum"}, {"name": "scale", "weights": [2]}, {"name": "rate"}]}, _click() + ", c AS (SELECT 'click ' || tags AS series, ts_ns, value, lag(ts_ns) OVER w AS p FROM r WINDOW w AS (PARTITION BY tags ORDER BY ts_ns)) SELECT series, ts_ns, round(CASE WHEN p IS NOT NULL THEN 2 * value / (ts_ns - p)::DOUBLE * 1000000000 END, 6) AS value FROM c", 6)
 
 _SAX_CUT = (-0.6744897501960817, 0.0, 0.6744897501960817)
 ask(
@@ -257,7 +263,35 @@ of_series(
     lambda c: _tidy(aggregate.from_rollup(aggregate.rollup(_one_series(c), 3_600_000_000_000)), 6),
     f"r AS (SELECT 'ev.value type=' || t AS series, ts_ns, value FROM s WHERE metric = 'ev.value' AND {FW}) SELECT series, CAST(count(*) AS DOUBLE) AS count, round(sum(value), 6) AS sum, round(avg(value), 6) AS mean, min(value) AS min, max(value) AS max, arg_min(value, (ts_ns, value)) AS first, arg_max(value, (ts_ns, value)) AS last, arg_min(ts_ns, (value, ts_ns)) AS min_ts, arg_max(ts_ns, (value, -ts_ns)) AS max_ts, min(ts_ns) AS first_ts, max(ts_ns) AS last_ts FROM r GROUP BY series",
 )
-of_series("posting_list_difference", lambda c: matching_series(c.series, parse({"select": "click", "range": FORWARD, "where": {"cohort": ["0", "1", "2"]}})).select("series").exceptAll(matching_series(c.series, parse({"select": "click", "range": FORWARD, "where": {"user": [str(u) for u in range(50)]}})).select("series")), _NAMES + " SELECT metric || ' ' || tags AS series FROM d WHERE metric = 'click' AND u % 4 IN (0, 1, 2) AND u >= 50")
+
+
+def _posting(name: str, sql: str, combine: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+    """Two sets of series of a metric, put together by id; the tests of the sets are predicates on the dimension."""
+
+    def run(c: Any) -> DataFrame:
+        one, two = (matching_series(c.series, parse({"select": "click", "range": FORWARD, "where": {"cohort": w}})).select("series") for w in (["0", "1", "2"], ["2", "3"]))
+        return combine(one, two)
+
+    of_series(name, run, _NAMES + f" SELECT metric || ' ' || tags AS series FROM d WHERE metric = 'click' AND {sql}")
+
+
+_posting("posting_list_difference", "u % 4 IN (0, 1)", DataFrame.exceptAll)
+_posting("posting_list_intersection", "u % 4 = 2", DataFrame.intersect)
+_posting("posting_list_union", "u % 4 IN (0, 1, 2, 3)", lambda a, b: a.union(b).distinct())
+
+
+# aggregates from a roll-up: the SQL reads the raw rows
+HOUR = 3_600_000_000_000
+of_series(
+    "agg_from_rollup",
+    lambda c: _tidy(build(rolled_up(c, HOUR), {"aggregate": {"click": "min", "view": "last", "purchase": "mean"}, "range": {"from": A + 12345, "to": B - 6789}}), 6),
+    f"r AS (SELECT * FROM s WHERE ts_ns >= {A + 12345} AND ts_ns < {B - 6789}) SELECT 'click:min ' || tags AS series, arg_min(ts_ns, (value, ts_ns)) AS ts_ns, min(value) AS value FROM r WHERE metric = 'click' GROUP BY tags UNION ALL SELECT 'view:last ' || tags, max(ts_ns), arg_max(value, (ts_ns, value)) FROM r WHERE metric = 'view' GROUP BY tags UNION ALL SELECT 'purchase:mean ' || tags, max(ts_ns), round(avg(value), 6) FROM r WHERE metric = 'purchase' GROUP BY tags",
+)
+of_series(
+    "group_agg_from_rollup",
+    lambda c: _tidy(build(rolled_up(c, HOUR), {"group-aggregate": _G, "range": {"from": FROM, "to": "20240115T001500"}, "group-by-tag": ["user"]}), 6),
+    "r AS (SELECT * FROM s WHERE metric = 'click' AND ts_ns >= " + f"{A} AND ts_ns < 1705277700000000000)" + _MEAN.format(h=_H, k="('cohort=' || (u % 4))", b=BUCKET),
+)
 
 
 # queries over the project's own tables
@@ -271,12 +305,12 @@ def of_tables(name: str, make: Callable[[SparkSession, str], DataFrame], sql: st
         ORACLE[name] = sql
 
 
-_RAW = {"from": 1232000000000000000, "to": 1234000000000000000}
+_RAW = {"from": 0, "to": 2000000000000000000}
 _DIM = "WITH d AS (SELECT series_id, min(series) AS series FROM series_dim WHERE series_id IS NOT NULL AND series IS NOT NULL GROUP BY 1), m AS (SELECT *, string_split(series, ' ')[1] AS metric FROM d)"
 of_tables(
     "domain_group_agg",
     lambda spark, sf: build(domain(spark, sf), {"group-aggregate": {"step": "1h", "metric": ["cpu.load", "sensor.temp"], "func": ["min", "max", "count"]}, "range": _RAW, "pivot-by-tag": ["site"]}),
-    _DIM + ", v AS (SELECT DISTINCT series_id, ts_ns, value FROM samples WHERE value IS NOT NULL AND NOT isnan(value) AND ts_ns >= 1232000000000000000 AND ts_ns < 1234000000000000000), r AS (SELECT metric, regexp_extract(series, ' site=([^ ]+)', 1) AS site, 1232000000000000000 + (ts_ns - 1232000000000000000) // 3600000000000 * 3600000000000 AS b, value FROM v JOIN m USING (series_id) WHERE metric IN ('cpu.load', 'sensor.temp')) SELECT metric || ':min|' || metric || ':max|' || metric || ':count site=' || site AS series, b AS ts_ns, min(value) AS min, max(value) AS max, CAST(count(*) AS DOUBLE) AS count FROM r WHERE site <> '' GROUP BY metric, site, b",
+    _DIM + ", v AS (SELECT DISTINCT series_id, ts_ns, value FROM samples WHERE value IS NOT NULL AND NOT isnan(value) AND ts_ns >= 0 AND ts_ns < 2000000000000000000), r AS (SELECT metric, regexp_extract(series, ' site=([^ ]+)', 1) AS site, ts_ns // 3600000000000 * 3600000000000 AS b, value FROM v JOIN m USING (series_id) WHERE metric IN ('cpu.load', 'sensor.temp')) SELECT metric || ':min|' || metric || ':max|' || metric || ':count site=' || site AS series, b AS ts_ns, min(value) AS min, max(value) AS max, CAST(count(*) AS DOUBLE) AS count FROM r WHERE site <> '' GROUP BY metric, site, b",
 )
 of_tables(
     "domain_events_regex",
@@ -322,8 +356,102 @@ of_tables(
     lambda spark, sf: resp_frames(build(clicks(spark, sf), _GJQ), iso=False),
     S + _over(_SPARSE, "0 AS x").rpartition(" SELECT series")[0] + " SELECT '+' || series || chr(13) || chr(10) || '+ts=' || ts_ns || chr(13) || chr(10) || '*2' || chr(13) || chr(10) || coalesce('+' || printf('%.17g', c0), '$-1') || chr(13) || chr(10) || coalesce('+' || printf('%.17g', c1), '$-1') || chr(13) || chr(10) AS line FROM j",
 )
+
+
+# anomalies: forecasts by recursion over the numbered buckets, sizes of errors against the length of a bucket's vector
+_AN = """g AS (SELECT 'ev.value:mean type=' || t AS series, {b} AS ts_ns, avg(value) AS x FROM s WHERE metric = 'ev.value' AND {w} GROUP BY ALL),
+n AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY ts_ns) AS i FROM g),
+""".format(b=BUCKET, w=FW)
+_JUDGED = """,
+sized AS (SELECT *, abs(x - guess) AS size FROM f), l AS (SELECT ts_ns, sqrt(sum(size * size)) AS length FROM sized GROUP BY 1)
+SELECT series, ts_ns, round(x, 6) AS value, round(guess, 6) AS forecast, coalesce(size > length * 0.7::DOUBLE, false) AS anomaly FROM sized JOIN l USING (ts_ns)"""
+
+
+def _recursive(start: str, step: str, columns: str) -> str:
+    return f"f AS (SELECT series, ts_ns, i, x, {start} FROM n WHERE i = 1 UNION ALL SELECT series, ts_ns, i, x, {columns} FROM (SELECT n.series, n.ts_ns, n.i, n.x, {step} FROM f JOIN n ON n.series = f.series AND n.i = f.i + 1) q)"
+
+
+_MODELS = {
+    "sma": ({"period": 4}, "f AS (SELECT *, CASE WHEN i > 4 THEN avg(x) OVER (PARTITION BY series ORDER BY i ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) END AS guess FROM n)"),
+    "ewma": ({"alpha": 0.3}, _recursive("CAST(NULL AS DOUBLE) AS guess, x AS v", "CASE WHEN n.i > 10 THEN f.v END AS guess, CASE WHEN n.i < 10 THEN f.v + n.x WHEN n.i = 10 THEN (f.v + n.x) / 10 ELSE f.v + 0.3::DOUBLE * (n.x - f.v) END AS v", "guess, v")),
+    "double-exp": (
+        {"alpha": 0.3, "beta": 0.2},
+        _recursive("CAST(NULL AS DOUBLE) AS guess, x AS v, CAST(0 AS DOUBLE) AS m", "CASE WHEN n.i > 2 THEN f.v + f.m END AS guess, f.v AS v0, f.m AS m0, CASE WHEN n.i = 2 THEN n.x ELSE 0.7::DOUBLE * (f.v + f.m) + 0.3::DOUBLE * n.x END AS v", "guess, v, CASE WHEN i = 2 THEN v - v0 ELSE m0 + 0.2::DOUBLE * (v - v0 - m0) END"),
+    ),
+    "holt-winters": (
+        {"alpha": 0.3, "beta": 0.2, "gamma": 0.4, "period": 4},
+        _recursive(
+            "CAST(NULL AS DOUBLE) AS guess, CAST(0 AS DOUBLE) AS v, CAST(0 AS DOUBLE) AS m, [x] AS season",
+            "f.v AS v0, f.m AS m0, CASE WHEN n.i <= 4 THEN list_append(f.season, n.x) ELSE f.season END AS old",
+            "CASE WHEN i > 4 THEN v0 + m0 + old[1] END, CASE WHEN i < 4 THEN 0 WHEN i = 4 THEN list_avg(old) ELSE 0.3::DOUBLE * (x - old[1]) + 0.7::DOUBLE * (v0 + m0) END AS v1, CASE WHEN i <= 4 THEN 0 ELSE 0.2::DOUBLE * (v1 - v0) + 0.8::DOUBLE * m0 END, CASE WHEN i < 4 THEN old WHEN i = 4 THEN list_transform(old, lambda y: y - list_avg(old)) ELSE list_append(old[2:], 0.4::DOUBLE * (x - v1) + 0.6::DOUBLE * old[1]) END",
+        ),
+    ),
+}
+
+
+def _anomaly(method: str, settings: dict[str, Any]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        buckets = build(clicks(spark, sf), {"group-aggregate": {"step": STEP, "metric": "ev.value", "func": "mean"}, "range": FORWARD, "pivot-by-tag": ["type"]})
+        return _tidy(anomalies(buckets.withColumnRenamed("mean", "value"), method, 0.7, **settings), 6)
+
+    return run
+
+
+for _m, (_p, _sql) in _MODELS.items():
+    of_tables("anomaly_" + _m.replace("-", "_"), _anomaly(_m, _p), S.replace("WITH e", "WITH RECURSIVE e", 1) + _AN + _sql + _JUDGED)
+
+
+# the line protocol: files of frames with a dictionary, compound names and both forms of times, written and read again
+def _frames(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events").filter("event_type is not null and ts is not null and value is not null and user_id is not null")
+    types = sorted(r[0] for r in e.select("event_type").distinct().limit(MAX_ROW).collect())
+    ids = {t: i for i, t in enumerate(types, 1)}
+    ns = F.unix_micros(F.col("ts").cast("timestamp")) * 1000
+    when = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit(":"), ns.cast("string"))).otherwise(F.concat(F.lit("+"), iso_column(ns)))
+    number = F.create_map(*(x for t, i in ids.items() for x in (F.lit(t), F.lit(i))))
+    k = F.get_json_object("props", "$.k")
+    pair = F.concat_ws("\r\n", F.concat(F.lit(":"), F.element_at(number, F.col("event_type")).cast("string")), when, F.lit("*2"), F.concat(F.lit("+"), F.col("value").cast("string")), F.concat(F.lit(":"), k))
+    text = F.concat_ws("\r\n", F.concat(F.lit("+!note user="), F.col("user_id").cast("string")), when, F.concat(F.lit("$"), F.octet_length("props").cast("string")), F.col("props"))
+    head = "\r\n".join([f"*{2 * len(ids)}", *(x for t, i in ids.items() for x in (f"+ev.value|ev.k type={t}", f":{i}"))])
+
+    def with_dictionary(batches):
+        import pyarrow as pa
+
+        first = True
+        for b in batches:
+            if first and b.num_rows:
+                first = False
+                yield pa.RecordBatch.from_arrays([pa.array([head])], names=["line"])
+            yield pa.RecordBatch.from_arrays([b.column(0)], names=["line"])
+
+    folder = f"{shared_folder(spark)}/frames-{uuid.uuid4().hex}"
+    remove_at_exit(spark, folder)
+    lines = e.select(F.concat_ws("\r\n", F.when(k.isNotNull(), pair), F.when(F.col("props").isNotNull(), text)).alias("line")).filter("line <> ''")
+    lines.mapInArrow(with_dictionary, "line string").write.option("lineSep", "\r\n").text(folder)
+    return read_frames(spark, folder, suffix=".txt")
+
+
+of_tables(
+    "resp_round_trip",
+    _frames,
+    "WITH e AS (SELECT *, epoch_us(ts) * 1000 AS ts_ns, json_extract_string(props, '$.k') AS k FROM events WHERE event_type IS NOT NULL AND ts IS NOT NULL AND value IS NOT NULL AND user_id IS NOT NULL) SELECT 'ev.value type=' || event_type AS series, ts_ns, value, CAST(NULL AS VARCHAR) AS body, CAST(NULL AS VARCHAR) AS error FROM e WHERE k IS NOT NULL UNION ALL SELECT 'ev.k type=' || event_type, ts_ns, CAST(k AS DOUBLE), NULL, NULL FROM e WHERE k IS NOT NULL UNION ALL SELECT '!note user=' || user_id, ts_ns, NULL, props, NULL FROM e WHERE props IS NOT NULL",
+)
+
+
+# loading: the store's samples after two batches, read back as a catalog
+def _stored(spark: SparkSession, sf: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
+    remove_at_exit(spark, folder)
+    store = Store(spark, folder)
+    rows = table(spark, sf, "input_log").select(F.concat(F.lit("m  id="), F.col("id").cast("string"), F.lit(" a=1")).alias("series"), F.col("ts_raw").alias("ts_ns"), "value", F.lit(None).cast("string").alias("body"), F.col("log_seq").alias("seq"))
+    half = rows.agg(F.max("seq")).first()[0] or 0
+    for batch, part in enumerate((F.col("seq") <= half // 2, F.col("seq") > half // 2)):
+        store.write(rows.filter(part), batch)
+    return build(store.catalog(), {"select": "m", "range": {"from": 0, "to": (1 << 63) - 1}})
+
+
 of_tables(
-    "anomaly_ewma",
-    lambda spark, sf: anomalies(build(clicks(spark, sf), {"group-aggregate": {"step": STEP, "metric": "ev.value", "func": "mean"}, "range": FORWARD, "pivot-by-tag": ["type"]}).withColumnRenamed("mean", "value"), "ewma", 0.8, alpha=0.3),
-    None,
+    "store_load",
+    _stored,
+    "WITH r AS (SELECT *, max(ts_raw) OVER (PARTITION BY id ORDER BY log_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM input_log WHERE id IS NOT NULL AND ts_raw IS NOT NULL AND value IS NOT NULL AND NOT isnan(value)) SELECT 'm a=1 id=' || id AS series, ts_raw AS ts_ns, value FROM r WHERE (p IS NULL OR ts_raw > p) AND ts_raw >= 0",
 )

@@ -56,10 +56,15 @@ def materialize(df: DataFrame) -> DataFrame:
     The table is removed when the Python process ends.
     """
     out, path = _written(df)
-    atexit.register(_remove, df.sparkSession, path)
+    remove_at_exit(df.sparkSession, path)
     return out
 
 
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Remove a folder that a lazy result still reads when the Python process ends."""
+    atexit.register(_remove, spark, path)
+
+
 @contextmanager
 def scope() -> Iterator[Callable[[DataFrame], DataFrame]]:
     """``materialize`` for the length of a block, for loads that go on for weeks: its tables are removed when the block ends."""

@@ -165,18 +165,18 @@ def _of_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part, strict=True), kinds, strict=True)], names=names)
 
 
-def _files(reader: DataFrameReader | DataStreamReader, path: str) -> DataFrame:
-    files = reader.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("pathGlobFilter", f"*{SUFFIX}").load(path)
+def _files(reader: DataFrameReader | DataStreamReader, path: str, suffix: str = SUFFIX) -> DataFrame:
+    files = reader.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("pathGlobFilter", f"*{suffix}").load(path)
     return files.select("content").mapInArrow(_of_files, SCHEMA)
 
 
-def read_frames(spark: SparkSession, path: str) -> DataFrame:
+def read_frames(spark: SparkSession, path: str, suffix: str = SUFFIX) -> DataFrame:
     """Rows of the files of frames in a folder of any file system that Spark reads.
 
     A file is read as a whole by one task, as frames only make sense in order; listeners roll their files
     at 64 MB. Names that start with a dot or underscore, and other suffixes, are being written.
     """
-    return _files(spark.read, path)
+    return _files(spark.read, path, suffix)
 
 
 def stream_frames(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
