@@ -98,3 +98,28 @@ def test_displacement_finds_each_pair():
         e = table[shift[a] + b]
         assert e >> bpe._SHIFT == a and e & mask == new
     assert len(table) == len([e for e in table if e < 0]) + len(merges.pairs)
+
+
+def test_other_words_of_a_text_with_a_long_word_are_folded(spark, reference, monkeypatch):
+    """One word of 10,000 bytes: the heap sees it and nothing else."""
+    rng = random.Random(7)
+    long = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(10_000))
+    text = "some words before " + long + " and, after it, some more; " * 3 + long[:97] + " end"
+    seen = spark.sparkContext.accumulator(0)
+    plain = bpe._long_encoder
+
+    def watched(merges):
+        one = plain(merges)
+
+        def encode(word):
+            if len(word.encode()) <= bpe.LONG_WORD:
+                seen.add(1)
+            return one(word)
+
+        return encode
+
+    monkeypatch.setattr(bpe, "_long_encoder", watched)
+    df = spark.createDataFrame([(text,), ("short text",), (None,), ("",)], "text string")
+    assert [list(r.ids) for r in bpe.encode(df).collect()] == [reference(text), reference("short text"), [], []]
+    assert [r.n_tokens for r in bpe.token_counts(df).collect()] == [len(reference(text)), len(reference("short text")), 0, 0]
+    assert seen.value == 0

@@ -10,8 +10,9 @@ Of them a second literal keeps those that occur most, in a direct-mapped table o
 is bounded whatever the corpus holds. A word outside the table is folded where it stands. The table
 changes the cost only, never a result, and texts are never shuffled.
 
-A word of more than ``LONG_WORD`` bytes would make the fold quadratic; texts with such words get their
-ids from an Arrow function with a heap of pairs, which gives the same ids in n log n steps.
+The fold is quadratic in the length of a word. A word of more than ``LONG_WORD`` bytes, and it alone, gets its
+ids from an Arrow function with a heap of pairs, which gives the same ids in n log n steps; the other words
+of its text are folded like any.
 
 Defined cases: null and empty texts give an empty list; strings of special tokens are ordinary text;
 every text encodes, and decoding gives back its bytes exactly.
@@ -202,44 +203,51 @@ def _long_encoder(merges: Merges):
     return encode
 
 
-def encode_column(words: Column, merges: Merges, table: list[tuple[int, str, list[int]]]) -> Column:
-    """Ids of an array of words: from the table where it holds the word, else by the fold."""
+def _known(table: list[tuple[int, str, list[int]]]) -> Column:
     by_word = [""] * SLOTS
-    ids = [[]] * SLOTS
-    for slot, word, x in table:
-        by_word[slot], ids[slot] = word, x
-    known = F.split(F.lit(_SEPARATOR.join(by_word)), _SEPARATOR)
-    known_ids = F.from_json(F.lit(json.dumps(ids, separators=(",", ":"))), "array<array<bigint>>")
+    for slot, word, _ in table:
+        by_word[slot] = word
+    return F.split(F.lit(_SEPARATOR.join(by_word)), _SEPARATOR)
+
+
+def encode_column(words: Column, merges: Merges, table: list[tuple[int, str, list[int]]], long: Column) -> Column:
+    """Ids of an array of words: from ``long``, the ids of long words in their places, else from the table, else by the fold."""
+    ids: list[list[int]] = [[]] * SLOTS
+    for slot, _, x in table:
+        ids[slot] = x
+    known, known_ids = _known(table), F.from_json(F.lit(json.dumps(ids, separators=(",", ":"))), "array<array<bigint>>")
     one = lambda w: _let(_slot(w), lambda s: F.when(F.get(known, s) == w, F.get(known_ids, s)).otherwise(fold_word(w, merges)))
-    return F.flatten(F.transform(words, one)).cast("array<int>")
+    # where a text has no long word the array is empty, and its places are null
+    return F.flatten(F.zip_with(words, long, lambda w, x: F.when(x.isNotNull(), x).otherwise(one(w)))).cast("array<int>")
 
 
-def count_column(words: Column, merges: Merges, table: list[tuple[int, str, list[int]]]) -> Column:
+def count_column(words: Column, merges: Merges, table: list[tuple[int, str, list[int]]], long: Column) -> Column:
     """Number of ids of an array of words, without making the ids of words in the table."""
-    by_word, n = [""] * SLOTS, [0] * SLOTS
-    for slot, word, x in table:
-        by_word[slot], n[slot] = word, len(x)
-    known, known_n = F.split(F.lit(_SEPARATOR.join(by_word)), _SEPARATOR), _numbers(n)
+    n = [0] * SLOTS
+    for slot, _, x in table:
+        n[slot] = len(x)
+    known, known_n = _known(table), _numbers(n)
     one = lambda w: _let(_slot(w), lambda s: F.when(F.get(known, s) == w, F.get(known_n, s)).otherwise(F.size(fold_word(w, merges))))
-    return F.aggregate(words, F.lit(0).cast("bigint"), lambda a, w: a + one(w))
+    each = F.zip_with(words, long, lambda w, x: F.when(x.isNotNull(), F.size(x)).otherwise(one(w)))
+    return F.aggregate(each, F.lit(0).cast("bigint"), lambda a, x: a + x)
 
 
 def _with_ids(docs: DataFrame, text: str, out: str, path: str | None, only_count: bool) -> DataFrame:
     merges = load_merges(path or vocabulary_path())
     table = frequent_words(docs, merges, text)
-    kind = "bigint" if only_count else "array<int>"
 
-    @F.pandas_udf(kind)
+    @F.pandas_udf("array<array<bigint>>")
     def by_heap(words: pd.Series) -> pd.Series:
         one = functools.lru_cache(100_000)(_long_encoder(merges))
-        ids = words.map(lambda ws: None if ws is None else [i for w in ws for i in one(w)])
-        return ids.map(lambda x: None if x is None else len(x)) if only_count else ids
+        return words.map(lambda ws: None if ws is None else [None if w is None else one(w) for w in ws])
 
     rows = docs.withColumn("_words", words_of(F.coalesce(F.col(text), F.lit(""))))
-    rows = rows.withColumn("_long", F.exists("_words", lambda w: F.octet_length(w) > LONG_WORD))
-    slow = by_heap(F.when(F.col("_long"), F.col("_words")))
-    fast = F.when(~F.col("_long"), (count_column if only_count else encode_column)(F.col("_words"), merges, table))
-    return rows.withColumn(out, F.coalesce(fast, slow)).drop("_words", "_long")
+    is_long = lambda w: F.octet_length(w) > LONG_WORD
+    # only texts with a long word are sent, and of them nothing but the long words
+    sent = F.when(F.exists("_words", is_long), F.transform("_words", lambda w: F.when(is_long(w), w)))
+    long = F.coalesce(by_heap(sent), F.array().cast("array<array<bigint>>"))
+    rows = rows.withColumn("_long", long)
+    return rows.withColumn(out, (count_column if only_count else encode_column)(F.col("_words"), merges, table, F.col("_long"))).drop("_words", "_long")
 
 
 def encode(docs: DataFrame, text: str = "text", out: str = "ids", path: str | None = None) -> DataFrame:

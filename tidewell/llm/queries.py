@@ -14,6 +14,7 @@ from tidewell.operators.late_events import to_ns
 from tidewell.session import materialize, prepare
 from tidewell.sources.tables import table
 
+SCOPES = (("series", "series_id"), ("metric", "metric"))
 QS = (0.01, 0.25, 0.5, 0.75, 0.99)
 CAPACITY = 2048
 
@@ -33,22 +34,29 @@ def _values(spark: SparkSession, sf: str) -> DataFrame:
 def p2_percentiles(spark: SparkSession, sf: str) -> DataFrame:
     prepare(spark)
     rows = materialize(_values(spark, sf).select("source", "series_id", "metric", "value"))
-    by_series = percentiles.percentiles(rows.filter("series_id is not null"), ["source", "series_id"], QS)
-    by_metric = percentiles.percentiles(rows.filter("metric is not null"), ["source", "metric"], QS)
-    return by_series.select("source", F.lit("series").alias("scope"), F.col("series_id").cast("string").alias("name"), "q", "n", "value").unionByName(
-        by_metric.select("source", F.lit("metric").alias("scope"), F.col("metric").alias("name"), "q", "n", "value")
-    )
+    parts = percentiles.percentiles_of_scopes(rows, [["source", c] for _, c in SCOPES], QS)
+    named = [p.filter(F.col(c).isNotNull()).select("source", F.lit(scope).alias("scope"), F.col(c).cast("string").alias("name"), "q", "n", "value") for p, (scope, c) in zip(parts, SCOPES, strict=True)]
+    return reduce(DataFrame.unionByName, named)
 
 
 def p2_from_days(spark: SparkSession, sf: str) -> DataFrame:
-    """Percentiles per series and per metric from day-wise histograms of 32 bits that are merged; value within error_bound of the exact one."""
+    """Percentiles per series and per metric from day-wise histograms that are merged; value within error_bound of the exact one, 2^-8 of it."""
     prepare(spark)
     days = materialize(percentiles.histograms(_values(spark, sf).filter("series_id is not null"), ["source", "series_id", "metric"], ["block"]))
-    scopes = [days.filter(F.col(c).isNotNull()).select("source", F.lit(scope).alias("scope"), F.col(c).cast("string").alias("name"), "bucket", "n") for scope, c in (("series", "series_id"), ("metric", "metric"))]
+    scopes = [days.filter(F.col(c).isNotNull()).select("source", F.lit(scope).alias("scope"), F.col(c).cast("string").alias("name"), "bucket", "n") for scope, c in SCOPES]
     merged = materialize(percentiles.merge_histograms(scopes, ["source", "scope", "name"]))
     return percentiles.percentiles_of_histograms(merged, ["source", "scope", "name"], QS)
 
 
+def p2_bounds(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether the percentiles of merged days keep their bounds, against the exact ones."""
+    keys = ["source", "scope", "name", "q"]
+    both = p2_from_days(spark, sf).join(p2_percentiles(spark, sf).withColumnRenamed("value", "exact").drop("n"), keys)
+    # an infinite percentile is met exactly; a bound may be missed by the rounding of its own last bit
+    near = (F.col("value") == F.col("exact")) | (F.abs(F.col("value") - F.col("exact")) <= F.col("error_bound") * (1 + 1e-9))
+    return both.select(*keys, "n", near.alias("kept"))
+
+
 def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     prepare(spark)
     return bpe.encode(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", "ids")
@@ -69,6 +77,18 @@ def p7_packed(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "piece", F.col("size").alias("n_tokens"), "container", "place", "start")
 
 
+def p7_invariants(spark: SparkSession, sf: str) -> DataFrame:
+    """What must hold for containers: no token lost, none over-full, only long texts cut, pieces in places without gaps, few containers."""
+    rows = materialize(p7_packed(spark, sf))
+    boxes = rows.groupBy("container").agg(F.sum("n_tokens").alias("used"), F.max("place").alias("last"), F.count_distinct("place").alias("places"), F.count("*").alias("items"))
+    docs = rows.groupBy("doc_id").agg(F.sum("n_tokens").alias("size"), F.count("*").alias("pieces"))
+    of_boxes = boxes.agg(F.count("*").alias("containers"), F.coalesce(F.sum("used"), F.lit(0)).alias("tokens"), (F.coalesce(F.max("used"), F.lit(0)) <= CAPACITY).alias("none_overfull"), F.coalesce(F.bool_and((F.col("last") + 1 == F.col("items")) & (F.col("places") == F.col("items"))), F.lit(True)).alias("places_in_order"))
+    of_docs = docs.agg(F.count("*").alias("docs"), F.coalesce(F.bool_and((F.col("pieces") == 1) | (F.col("size") > CAPACITY)), F.lit(True)).alias("only_long_cut"))
+    # a shard's last containers may be half empty; beside that hardly anything is left over
+    few = F.col("containers") <= F.ceil(F.col("tokens") / CAPACITY * 1.02) + 10
+    return of_boxes.join(F.broadcast(of_docs)).select("docs", "none_overfull", "places_in_order", "only_long_cut", few.alias("few_containers"))
+
+
 def p7_fill(spark: SparkSession, sf: str) -> DataFrame:
     """Room left in the containers: number of containers by tenth of the capacity used."""
     used = p7_packed(spark, sf).groupBy("container").agg(F.sum("n_tokens").alias("used"))
@@ -96,10 +116,12 @@ def p8_rates(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_percentiles": p2_percentiles,
     "p2_from_days": p2_from_days,
+    "p2_bounds": p2_bounds,
     "p6_ids": p6_ids,
     "p6_round_trip": p6_round_trip,
     "p7_packed": p7_packed,
     "p7_fill": p7_fill,
+    "p7_invariants": p7_invariants,
     "p8_found": p8_found,
     "p8_scores": p8_scores,
     "p8_rates": p8_rates,
@@ -119,5 +141,7 @@ q AS (SELECT unnest([0.01, 0.25, 0.5, 0.75, 0.99]::DOUBLE[]) AS q)
 
 ORACLE: dict[str, str] = {
     "p2_percentiles": _VALUES + "SELECT source, scope, name, q, n, value FROM r JOIN q ON rk = greatest(1, CAST(ceil(q * n) AS BIGINT))",
+    "p2_bounds": _VALUES + "SELECT source, scope, name, q, n, true AS kept FROM r JOIN q ON rk = greatest(1, CAST(ceil(q * n) AS BIGINT))",
+    "p7_invariants": "SELECT count(DISTINCT doc_id) AS docs, true AS none_overfull, true AS places_in_order, true AS only_long_cut, true AS few_containers FROM documents",
     "p6_round_trip": "SELECT doc_id, true AS same FROM documents",
 }
