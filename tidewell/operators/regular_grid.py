@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from tidewell.operators.common import DAY_NS, div, floor_to, present
 
-#: Slots per block of a source.
-BLOCK = 512
+#: Slots per block of a source, and of a part of a gap.
+BLOCK, STRETCH = 512, 4096
 #: Runs of empty slots that last longer than this hold no slots: the source was out of service.
 OUTAGE_NS = 10 * DAY_NS
 #: Kernel bandwidth in steps.
@@ -65,15 +65,17 @@ def with_previous(samples: DataFrame) -> DataFrame:
     return rows.join(last_before(samples), ["key", "block"], "left").withColumn("prev", F.coalesce("prev", "before")).drop("before")
 
 
-def _empty_run(outage_ns: int) -> Column:
-    """Array of the empty slots right before a reading's slot; none after an outage."""
+def _stretches(outage_ns: int) -> Column:
+    """The empty slots right before a reading's slot as stretches (from, to) of bounded length; none after an outage."""
     missing = F.col("slot") - F.col("prev") - 1
-    return F.when((missing > 0) & (missing <= div(F.lit(outage_ns), F.col("step"))), F.sequence(F.col("prev") + 1, F.col("slot") - 1))
+    starts = F.when((missing > 0) & (missing <= div(F.lit(outage_ns), F.col("step"))), F.sequence(F.col("prev") + 1, F.col("slot") - 1, F.lit(STRETCH).cast("bigint")))
+    return F.transform(F.coalesce(starts, F.array().cast("array<bigint>")), lambda a: F.struct(a.alias("from"), F.least(a + (STRETCH - 1), F.col("slot") - 1).alias("to")))
 
 
 def empty_slots(samples: DataFrame, outage_ns: int = OUTAGE_NS) -> DataFrame:
     """key, step, slot of each slot without a reading between two readings, outages left out."""
-    return with_previous(samples).select("key", "step", F.explode(_empty_run(outage_ns)).alias("slot"))
+    gaps = with_previous(samples).select("key", "step", F.explode(_stretches(outage_ns)).alias("g"))
+    return gaps.select("key", "step", F.explode(F.sequence("g.from", "g.to")).alias("slot"))
 
 
 def grid(samples: DataFrame, bandwidth: float = BANDWIDTH, min_support: float = MIN_SUPPORT, outage_ns: int = OUTAGE_NS, two_sided: bool = False) -> DataFrame:
@@ -94,10 +96,12 @@ def grid(samples: DataFrame, bandwidth: float = BANDWIDTH, min_support: float =
         d = offset - k
         w = F.when(~solid & (F.abs(d) < bandwidth), 1 - (d / bandwidth) * (d / bandwidth)).otherwise(zero)
         y = F.when(solid, zero).otherwise(F.col("value"))
-        cell.append(F.struct((F.col("slot") + k).alias("slot"), F.lit(int(k == 0)).alias("n"), F.lit(0).alias("gap"), w.alias("w"), F.when(d < 0, w).otherwise(zero).alias("wb"), F.when(d > 0, w).otherwise(zero).alias("wa"), (w * w).alias("ww"), (w * d).alias("wd"), (w * d * d).alias("wdd"), (w * y).alias("wy"), (w * d * y).alias("wdy")))
-    none = F.array().cast("array<bigint>")
-    gaps = F.transform(F.coalesce(_empty_run(outage_ns), none), lambda s: F.struct(s.alias("slot"), F.lit(0).alias("n"), F.lit(1).alias("gap"), *(zero.alias(c) for c in ("w", "wb", "wa", "ww", "wd", "wdd", "wy", "wdy"))))
+        cell.append(F.struct((F.col("slot") + k).alias("from"), (F.col("slot") + k).alias("to"), F.lit(int(k == 0)).alias("n"), F.lit(0).alias("gap"), w.alias("w"), F.when(d < 0, w).otherwise(zero).alias("wb"), F.when(d > 0, w).otherwise(zero).alias("wa"), (w * w).alias("ww"), (w * d).alias("wd"), (w * d * d).alias("wdd"), (w * y).alias("wy"), (w * d * y).alias("wdy")))
+    moments = ("w", "wb", "wa", "ww", "wd", "wdd", "wy", "wdy")
+    gaps = F.transform(_stretches(outage_ns), lambda g: F.struct(g["from"].alias("from"), g["to"].alias("to"), F.lit(0).alias("n"), F.lit(1).alias("gap"), *(zero.alias(c) for c in moments)))
     parts = rows.select("key", "step", F.explode(F.concat(F.array(*cell), gaps)).alias("c")).select("key", "step", "c.*").filter("n > 0 or gap > 0 or w > 0")
+    # a cell is one slot, a stretch of a gap as many as it is long
+    parts = parts.select("key", "step", F.explode(F.sequence("from", "to")).alias("slot"), "n", "gap", *moments)
     m = parts.groupBy("key", "step", "slot").agg(F.sum("n").alias("n"), F.max("gap").alias("gap"), *(F.sum(c).alias(c) for c in ("w", "wb", "wa", "ww", "wd", "wdd", "wy", "wdy")))
     m = m.filter("n > 0 or gap > 0")
     det = F.col("w") * F.col("wdd") - F.col("wd") * F.col("wd")

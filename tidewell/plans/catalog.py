@@ -72,7 +72,7 @@ def domain(spark: SparkSession, sf: str) -> Catalog:
     """The project's own tables. Rows without a value or body are absent, repeated rows count once."""
     samples = table(spark, sf, "samples").filter(F.col("series_id").isNotNull() & F.col("ts_ns").isNotNull() & present("value"))
     events = table(spark, sf, "series_events").filter("series_id is not null and ts_ns is not null and body is not null")
-    return Catalog(samples.select("series_id", "ts_ns", "value"), events.select("series_id", "ts_ns", "body"), dimension(table(spark, sf, "series_dim")), repeats=True)
+    return Catalog(samples.select("series_id", "ts_ns", "value"), events.select("series_id", "ts_ns", "body"), materialize(dimension(table(spark, sf, "series_dim"))), repeats=True)
 
 
 def _literal(ns: int) -> Column:
@@ -126,4 +126,5 @@ def clicks(spark: SparkSession, sf: str) -> Catalog:
     metric = {"": F.col("event_type"), "ev.value": F.lit("ev.value"), "ev.k": F.lit("ev.k"), "!": F.concat(F.lit("!"), "event_type")}
     series = [F.struct((-F.abs(F.xxhash64(name[k])) if k == "!" else F.xxhash64(name[k])).alias("series_id"), name[k].alias("series"), metric[k].alias("metric"), (paired if k.startswith("ev.") else typed).alias("tags")) for k in name]
     dim = src.select("event_type", "user_id").distinct().select(F.explode(F.array(*series)).alias("d")).select("d.*")
-    return Catalog(prune(None, ()), prune_events(None, ()), dim, prune, prune_events)
+    # written once: a request looks at the series several times, and never again at the facts for them
+    return Catalog(prune(None, ()), prune_events(None, ()), materialize(dim), prune, prune_events)
