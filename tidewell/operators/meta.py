@@ -14,6 +14,11 @@ def series_names(series: DataFrame, q: Query) -> DataFrame:
     return matching_series(series, q).select("series").distinct()
 
 
+def names_like(series: DataFrame, pattern: str) -> DataFrame:
+    """Names of series in which a regular expression is found."""
+    return series.filter(F.col("series").rlike(pattern)).select("series").distinct()
+
+
 def suggestions(series: DataFrame, q: Query) -> DataFrame:
     """Metric names, tag names of a metric, or values of a tag, by prefix."""
     if q.kind == "metric-names":

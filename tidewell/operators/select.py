@@ -59,11 +59,11 @@ def projected(series: DataFrame, q: Query) -> DataFrame:
         return series.withColumn("tag_key", names.tag_text(F.col("tags")))
     known = known_tags(series, q)
     if q.keep_tags and len(known) < len(q.tags):
-        raise NoData("Group-by statement doesn't match any series")
+        raise NoData("no series has the tags of the grouping")
     kept = names.keep_tags(F.col("tags"), q.tags) if q.keep_tags else names.drop_tags(F.col("tags"), q.tags)
     out = series.filter(names.has_tags(F.col("tags"), known)).withColumn("tag_key", names.tag_text(kept)).filter("tag_key <> ''")
     if out.isEmpty():
-        raise NoData("Group-by statement doesn't match any series")
+        raise NoData("no series has the tags of the grouping")
     return out
 
 

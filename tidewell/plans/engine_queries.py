@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 from typing import Any
@@ -9,6 +10,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewell.api import Engine
 from tidewell.functions.names import canonical
 from tidewell.functions.timefmt import iso_column
 from tidewell.operators import aggregate, meta
@@ -23,7 +25,9 @@ from tidewell.sinks.text import csv_lines, resp_frames
 from tidewell.sources.lines import parse_bulk, parse_put
 from tidewell.sources.resp import MAX_ROW, read_frames
 from tidewell.sources.tables import table
+from tidewell.streaming.buckets import standing_buckets
 from tidewell.streaming.ingest import Store
+from tidewell.streaming.late_write import LateRule
 
 #: Beyond the times of the table on both sides.
 FROM, TO = "20231201T000000", "20240301T000000"
@@ -224,6 +228,15 @@ ask("events_regex", {"select-events": "!view", "range": FORWARD, "filter": "[1-3
 ask("events_pivot_limit", {"select-events": "!view", "range": FORWARD, "pivot-by-tag": ["cohort"], "order-by": "time", "limit": 40}, _EV + " SELECT '!view cohort=' || (u % 4) AS series, ts_ns, body FROM r ORDER BY ts_ns, series, body LIMIT 40")
 
 
+# orders: the rows that a limit leaves prove them
+ask("join_order_time", {"join": ["ev.value", "ev.k"], "range": BACKWARD, "order-by": "time", "limit": 60}, _JOIN.replace(FW, BW).format(x="", y="") + " ORDER BY ts_ns DESC, series DESC, c0, c1 LIMIT 60")
+ask("join_order_series", {"join": ["ev.value", "ev.k"], "range": FORWARD, "order-by": "series", "offset": 30, "limit": 60}, _JOIN.format(x="", y="") + " ORDER BY series, ts_ns, c0, c1 LIMIT 60 OFFSET 30")
+ask("group_agg_order_time", {"group-aggregate": _G, "range": BACKWARD, "order-by": "time", "limit": 60}, _click(BW) + _MEAN.format(h=_H, k="tags", b=BUCKET_BW) + " ORDER BY ts_ns DESC, series DESC LIMIT 60", 6)
+ask("group_agg_order_series", {"group-aggregate": _G, "range": FORWARD, "order-by": "series", "limit": 60}, _click() + _MEAN.format(h=_H, k="tags", b=BUCKET) + " ORDER BY series, ts_ns LIMIT 60", 6)
+ask("select_order_series_grouped", {"select": "click", "range": FORWARD, "pivot-by-tag": ["cohort"], "order-by": "series", "limit": 60}, _click() + " SELECT 'click cohort=' || (u % 4) AS series, ts_ns, value FROM r ORDER BY series, ts_ns, value LIMIT 60")
+ask("select_order_series_grouped_backward", {"select": "click", "range": BACKWARD, "pivot-by-tag": ["cohort"], "order-by": "series", "limit": 60}, _click(BW) + " SELECT 'click cohort=' || (u % 4) AS series, ts_ns, value FROM r ORDER BY series DESC, ts_ns DESC, value LIMIT 60")
+
+
 # metadata
 def of_series(name: str, make: Callable[[Any], DataFrame], sql: str | None) -> None:
     def run(spark: SparkSession, sf: str) -> DataFrame:
@@ -280,6 +293,71 @@ _posting("posting_list_intersection", "u % 4 = 2", DataFrame.intersect)
 _posting("posting_list_union", "u % 4 IN (0, 1, 2, 3)", lambda a, b: a.union(b).distinct())
 
 
+of_series("series_regex", lambda c: meta.names_like(c.series, "^(click|view) .*user=1[0-9]$"), _NAMES + " SELECT metric || ' ' || tags AS series FROM d WHERE regexp_matches(metric || ' ' || tags, '^(click|view) .*user=1[0-9]$')")
+
+
+# the façade: lines of an answer with their places, and numbers of the catalog
+def _answer(spark: SparkSession, sf: str) -> DataFrame:
+    ask_ = {"group-aggregate": {"step": "1d", "metric": "ev.value", "func": ["min", "max"]}, "range": FORWARD, "pivot-by-tag": ["type"], "output": {"format": "csv", "timestamp": "raw"}}
+    status, lines = Engine(spark, clicks(spark, sf)).respond("/api/query", json.dumps(ask_))
+    # a line per day and type
+    return spark.createDataFrame([(i, status, line) for i, line in enumerate(lines)], "place bigint, status bigint, line string")
+
+
+def of_facade(name: str, make: Callable[[SparkSession, str], DataFrame], sql: str) -> None:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        prepare(spark)
+        return make(spark, sf)
+
+    QUERIES[name] = run
+    ORACLE[name] = S + sql
+
+
+of_facade(
+    "api_query",
+    _answer,
+    f"r AS (SELECT t, {A} + (ts_ns - {A}) // 86400000000000 * 86400000000000 AS b, min(value) AS lo, max(value) AS hi FROM s WHERE metric = 'ev.value' AND {FW} GROUP BY ALL) SELECT row_number() OVER (ORDER BY b, t) - 1 AS place, CAST(200 AS BIGINT) AS status, 'ev.value:min|ev.value:max type=' || t || ',ts=' || b || ',' || printf('%.17g', lo) || ',' || printf('%.17g', hi) AS line FROM r",
+)
+of_facade(
+    "api_stats",
+    lambda spark, sf: spark.createDataFrame(list(Engine(spark, clicks(spark, sf)).stats().items()), "name string, n bigint"),
+    _NAMES + ", n AS (SELECT (SELECT count(*) FROM d) AS series, (SELECT count(DISTINCT metric) FROM d) AS metrics, (SELECT count(*) FROM s) AS samples, (SELECT count(*) FROM e WHERE props IS NOT NULL) AS events) SELECT 'series' AS name, series AS n FROM n UNION ALL SELECT 'metrics', metrics FROM n UNION ALL SELECT 'samples', samples FROM n UNION ALL SELECT 'events', events FROM n",
+)
+of_facade(
+    "api_function_names",
+    lambda spark, sf: spark.createDataFrame([(x,) for x in Engine(spark, clicks(spark, sf)).respond("/api/function-names")[1]], "name string"),
+    "d AS (SELECT 1) SELECT unnest(['abs', 'accumulate', 'anomaly-detector', 'cma', 'cusum', 'diff', 'divide', 'eval', 'ewma', 'ewma-error', 'frequent-items', 'heavy-hitters', 'multiply', 'rate', 'sax', 'scale', 'sma', 'sma-error', 'sum', 'top']) AS name",
+)
+
+
+# streams, run until their input is used up
+def _streamed(spark: SparkSession, sf: str, name: str) -> tuple[DataFrame, str]:
+    """A table as a stream of its files, and a folder for what becomes of it."""
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    remove_at_exit(spark, folder)
+    path = f"{sf}/{name}.parquet"
+    whole = spark.read.parquet(path)
+    if whole.inputFiles() and whole.inputFiles()[0].rstrip("/").endswith(f"{name}.parquet"):
+        # the file source wants a folder
+        return spark.readStream.schema(whole.schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf), folder
+    return spark.readStream.schema(whole.schema).parquet(path), folder
+
+
+def _standing(spark: SparkSession, sf: str) -> DataFrame:
+    src, folder = _streamed(spark, sf, "events")
+    src = src.select(F.concat(F.lit("ev.value type="), F.col("event_type")).alias("series"), (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("ts_ns"), "value")
+    out = standing_buckets(src, STEP_NS, ["min", "max", "count"], A)
+    out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("series string, ts_ns bigint, min double, max double, count double").parquet(f"{folder}/out")
+
+
+of_facade(
+    "stream_buckets",
+    _standing,
+    f"r AS (SELECT 'ev.value type=' || t AS series, {BUCKET} AS b, ts_ns, value FROM s WHERE metric = 'ev.value'), w AS (SELECT max(ts_ns) // 1000000 * 1000000 - 3600000000000 AS mark FROM r) SELECT series, b AS ts_ns, min(value) AS min, max(value) AS max, CAST(count(*) AS DOUBLE) AS count FROM r, w GROUP BY series, b, mark HAVING b + {STEP_NS} <= mark",
+)
+
+
 # aggregates from a roll-up: the SQL reads the raw rows
 HOUR = 3_600_000_000_000
 of_series(
@@ -455,3 +533,18 @@ of_tables(
     _stored,
     "WITH r AS (SELECT *, max(ts_raw) OVER (PARTITION BY id ORDER BY log_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM input_log WHERE id IS NOT NULL AND ts_raw IS NOT NULL AND value IS NOT NULL AND NOT isnan(value)) SELECT 'm a=1 id=' || id AS series, ts_raw AS ts_ns, value FROM r WHERE (p IS NULL OR ts_raw > p) AND ts_raw >= 0",
 )
+
+
+def _late_stream(spark: SparkSession, sf: str) -> DataFrame:
+    src, folder = _streamed(spark, sf, "input_log")
+    src = src.select(F.concat(F.lit("m id="), F.col("id").cast("string")).alias("series"), F.col("ts_raw").alias("ts_ns"), F.col("log_seq").alias("seq"))
+    rule = LateRule(f"{folder}/last", lambda df, batch: df.filter("accepted").select("series", "ts_ns", "seq").write.mode("overwrite").parquet(f"{folder}/out/batch={batch}"))
+    src.writeStream.foreachBatch(rule).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("series string, ts_ns bigint, seq bigint, batch bigint").parquet(f"{folder}/out").drop("batch")
+
+
+of_tables(
+    "stream_late_write",
+    _late_stream,
+    "WITH r AS (SELECT *, max(ts_raw) OVER (PARTITION BY id ORDER BY log_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM input_log WHERE id IS NOT NULL AND ts_raw IS NOT NULL) SELECT 'm id=' || id AS series, ts_raw AS ts_ns, log_seq AS seq FROM r WHERE p IS NULL OR ts_raw > p",
+)

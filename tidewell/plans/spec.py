@@ -224,7 +224,7 @@ def _statement(req: Mapping[str, Any]) -> dict[str, Any]:
         raise QueryError(f"{kind} needs step, metric and func")
     step = parse_duration(body["step"])
     if not step:
-        raise QueryError("Step can't be zero")
+        raise QueryError("step must be longer than nothing")
     metrics, funcs = tuple(_metric(m) for m in _texts(body["metric"], "metric")), _aggregates(_texts(body["func"], "func"))
     if kind == "group-aggregate-join" and (len(metrics) < 2 or len(funcs) != 1):
         raise QueryError("group-aggregate-join needs two or more metrics and one func")
