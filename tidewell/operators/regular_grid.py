@@ -88,21 +88,19 @@ def grid(samples: DataFrame, bandwidth: float = BANDWIDTH, min_support: float =
     if not bandwidth > 0.5:
         raise ValueError("the bandwidth must exceed half a step, else a slot can miss its own readings")
     reach = math.ceil(bandwidth - 0.5)
-    rows = with_previous(samples)
-    zero, cell = F.lit(0.0), []
-    solid = F.col("value").isin(float("inf"), float("-inf"))
+    zero, moments = F.lit(0.0), ("w", "wb", "wa", "ww", "wd", "wdd", "wy", "wdy")
+    # plain columns after a narrow generator, so that moments nobody asks for are never computed
     offset = (F.col("ts") - F.col("slot") * F.col("step")).cast("double") / F.col("step") - 0.5
-    for k in range(-reach, reach + 1):
-        d = offset - k
-        w = F.when(~solid & (F.abs(d) < bandwidth), 1 - (d / bandwidth) * (d / bandwidth)).otherwise(zero)
-        y = F.when(solid, zero).otherwise(F.col("value"))
-        cell.append(F.struct((F.col("slot") + k).alias("from"), (F.col("slot") + k).alias("to"), F.lit(int(k == 0)).alias("n"), F.lit(0).alias("gap"), w.alias("w"), F.when(d < 0, w).otherwise(zero).alias("wb"), F.when(d > 0, w).otherwise(zero).alias("wa"), (w * w).alias("ww"), (w * d).alias("wd"), (w * d * d).alias("wdd"), (w * y).alias("wy"), (w * d * y).alias("wdy")))
-    moments = ("w", "wb", "wa", "ww", "wd", "wdd", "wy", "wdy")
-    gaps = F.transform(_stretches(outage_ns), lambda g: F.struct(g["from"].alias("from"), g["to"].alias("to"), F.lit(0).alias("n"), F.lit(1).alias("gap"), *(zero.alias(c) for c in moments)))
-    parts = rows.select("key", "step", F.explode(F.concat(F.array(*cell), gaps)).alias("c")).select("key", "step", "c.*").filter("n > 0 or gap > 0 or w > 0")
-    # a cell is one slot, a stretch of a gap as many as it is long
-    parts = parts.select("key", "step", F.explode(F.sequence("from", "to")).alias("slot"), "n", "gap", *moments)
-    m = parts.groupBy("key", "step", "slot").agg(F.sum("n").alias("n"), F.max("gap").alias("gap"), *(F.sum(c).alias(c) for c in ("w", "wb", "wa", "ww", "wd", "wdd", "wy", "wdy")))
+    cells = readings(samples).select("key", "step", "slot", "value", offset.alias("offset"), F.explode(F.array(*(F.lit(k) for k in range(-reach, reach + 1)))).alias("k"))
+    d, solid = F.col("offset") - F.col("k"), F.col("value").isin(float("inf"), float("-inf"))
+    weight = F.when(~solid & (F.abs(d) < bandwidth), 1 - (d / bandwidth) * (d / bandwidth)).otherwise(zero)
+    cells = cells.select("key", "step", (F.col("slot") + F.col("k")).alias("slot"), (F.col("k") == 0).cast("int").alias("n"), F.lit(0).alias("gap"), weight.alias("w"), d.alias("d"), F.when(solid, zero).otherwise(F.col("value")).alias("y"))
+    w, d = F.col("w"), F.col("d")
+    made = {"w": w, "wb": F.when(d < 0, w).otherwise(zero), "wa": F.when(d > 0, w).otherwise(zero), "ww": w * w, "wd": w * d, "wdd": w * d * d, "wy": w * F.col("y"), "wdy": w * d * F.col("y")}
+    cells = cells.select("key", "step", "slot", "n", "gap", *(made[c].alias(c) for c in moments))
+    gaps = empty_slots(samples, outage_ns).select("key", "step", "slot", F.lit(0).alias("n"), F.lit(1).alias("gap"), *(zero.alias(c) for c in moments))
+    parts = cells.unionByName(gaps)
+    m = parts.groupBy("key", "step", "slot").agg(F.sum("n").alias("n"), F.max("gap").alias("gap"), *(F.sum(c).alias(c) for c in moments))
     m = m.filter("n > 0 or gap > 0")
     det = F.col("w") * F.col("wdd") - F.col("wd") * F.col("wd")
     line = (F.col("wdd") * F.col("wy") - F.col("wd") * F.col("wdy")) / det
