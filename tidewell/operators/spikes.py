@@ -244,9 +244,10 @@ def numbered(readings: DataFrame) -> DataFrame:
     bad = F.col("value").isin(float("inf"), float("-inf")) | F.coalesce(F.col("value") < F.col("lo"), F.lit(False)) | F.coalesce(F.col("value") > F.col("hi"), F.lit(False))
     src = readings.filter(F.col("series_id").isNotNull() & F.col("ts_ns").isNotNull() & present("value"))
     src = src.select(F.col("series_id").alias("key"), F.col("ts_ns").alias("ts"), "value", bad.alias("impossible"), floor_to(F.col("ts_ns"), block_ns).alias("block"))
-    rows = src.repartition("key", "block").dropDuplicates(["key", "block", "ts", "value", "impossible"])
-    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("key", "block").orderBy("ts", "value")))
-    counts = rows.groupBy("key", "block").agg(F.max("n").cast("bigint").alias("rows")).withColumn("wide", floor_to(F.col("block"), 1024))
+    distinct = src.repartition("key", "block").dropDuplicates(["key", "block", "ts", "value", "impossible"])
+    rows = distinct.withColumn("n", F.row_number().over(Window.partitionBy("key", "block").orderBy("ts", "value")))
+    # counted before the numbering, which need not be sorted for it
+    counts = distinct.groupBy("key", "block").agg(F.count("*").alias("rows")).withColumn("wide", floor_to(F.col("block"), 1024))
     earlier = Window.unboundedPreceding, -1
     near = counts.withColumn("near", F.coalesce(F.sum("rows").over(Window.partitionBy("key", "wide").orderBy("block").rowsBetween(*earlier)), F.lit(0)))
     far = counts.groupBy("key", "wide").agg(F.sum("rows").alias("rows")).withColumn("far", F.coalesce(F.sum("rows").over(Window.partitionBy("key").orderBy("wide").rowsBetween(*earlier)), F.lit(0)))
