@@ -12,6 +12,7 @@ when the files are loaded.
 
 from __future__ import annotations
 
+import os
 import re
 import socket
 import socketserver
@@ -41,7 +42,7 @@ class Landing:
     """Writes buffers as files whose names sort by time."""
 
     def __init__(self, folder: str, suffix: str = SUFFIX) -> None:
-        self.fs, self.folder = fs.FileSystem.from_uri(folder)
+        self.fs, self.folder = fs.FileSystem.from_uri(folder if "://" in folder else os.path.abspath(folder))
         self.suffix = suffix
         self.fs.create_dir(self.folder)
 
