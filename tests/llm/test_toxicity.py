@@ -88,6 +88,17 @@ def test_unlabelled_positives_keep_a_high_score():
         T.fit([], [], [])
 
 
+def test_sure_passages_join_until_none_is_left(monkeypatch):
+    # a stand-in for the fit that is sure of whatever shares a word with a positive
+    shares_a_word = lambda x, kind, weight: T.Model(10.0 * (x.gradient(((kind == 1) & (weight > 0)).astype(float)) > 0), -1.0)
+    monkeypatch.setattr(T, "fit_nnpu", shares_a_word)
+    chain = [[a + "o", b + "o"] for a, b in zip("abcdef", "bcdefg", strict=True)]
+    corpus = [(p, 1.0) for p in [*chain, ["xy", "yz"]]]
+    far = lambda **how: T.fit(["ao"], [], corpus, **how).scorer()([chain[-1], ["xy", "yz"]])
+    assert far()[0] > T.SURE > far()[1]
+    assert far(rounds=1)[0] < 0
+
+
 @pytest.fixture(scope="module")
 def reviews(spark):
     if not os.path.exists(REVIEWS):

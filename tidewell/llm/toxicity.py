@@ -5,7 +5,8 @@ non-negative positive-unlabelled learning: passages that reviewers judged offend
 passages of the corpus are unlabelled, and the risk of the negative class is the unlabelled risk less
 the prior's share of the positive one, held at or above zero. Passages that reviewers judged clean add
 a supervised term of half the weight. A positive text may hold clean passages too, so from the second round
-on only its passages with the highest score stand for it.
+on only its passages with the highest score stand for it. Passages of the corpus that the model is sure of
+join the positives, round by round until no more do.
 
 The unlabelled risk is estimated over the whole corpus: a first model scores every passage, those it can't
 dismiss enter the fit with their counts, and an even sample stands for the rest (see ``train``).
@@ -52,6 +53,8 @@ DIM = 1 << 18
 #: Share of offending passages in the corpus assumed by the risk, weight of the reviewed clean passages, L2 penalty.
 PRIOR, CLEAN_WEIGHT, DECAY = 0.03, 0.5, 3e-5
 ROUNDS, STEPS, RATE = 3, 100, 0.05
+#: Rounds after which fitting ends even if passages still join the positives.
+MOST_ROUNDS = 20
 #: Passages of more words than this are cut; as they are scored, the windows begin PASSAGE_STEP words apart.
 PASSAGE_WORDS, PASSAGE_STEP = 40, 20
 #: Runs of more letters than this, as in text without spaces, are scored in windows too, which begin RUN_STEP letters apart.
@@ -260,11 +263,12 @@ def fit_nnpu(x: Features, kind: np.ndarray, weight: np.ndarray, prior: float = P
     return Model(mean / (steps - late + 1), float(mean_b / (steps - late + 1)))
 
 
-def fit(positive: Sequence[str], clean: Sequence[str], unlabelled: Sequence[tuple[list[str], float]], rounds: int = ROUNDS, **settings: float) -> Model:
+def fit(positive: Sequence[str], clean: Sequence[str], unlabelled: Sequence[tuple[list[str], float]], rounds: int = ROUNDS, most_rounds: int = MOST_ROUNDS, **settings: float) -> Model:
     """Fit from reviewed texts and from unlabelled passages with their weights.
 
     From the second round on only the best passages of a positive text stand for it, and from the third on
-    unlabelled passages above ``SURE`` count as positive.
+    unlabelled passages above ``SURE`` count as positive. Rounds beyond the third follow as long as further
+    passages join, since a wording that joins makes those akin to it sure. With ``rounds`` below 3 none join.
     """
     bags = [b for b in map(passages, positive) if b]
     if not bags:
@@ -276,7 +280,8 @@ def fit(positive: Sequence[str], clean: Sequence[str], unlabelled: Sequence[tupl
     kinds = np.repeat([1, 0, -1], [len(inside), len(unlabelled), len(good)])
     weights = np.concatenate([np.ones(len(inside)), np.array([n for _, n in unlabelled], float), np.ones(len(good))])
     model = fit_nnpu(x, kinds, weights, **settings)
-    for r in range(1, rounds):
+    joined = np.zeros(len(kinds), bool)
+    for r in range(1, rounds if rounds < 3 else max(rounds, most_rounds)):
         margin = x.margins(model.weights) + model.bias
         own = margin[: len(inside)]
         best = np.full(len(bags), -np.inf)
@@ -285,7 +290,10 @@ def fit(positive: Sequence[str], clean: Sequence[str], unlabelled: Sequence[tupl
         weight[: len(inside)] = (own >= best[bag] - 1e-9) | (own > 0)
         if r > 1:
             sure = (kinds == 0) & (margin > SURE)
-            kind[sure], weight[sure] = 1, 1.0
+            if r >= rounds and not (sure & ~joined).any():
+                break
+            joined |= sure
+            kind[joined], weight[joined] = 1, 1.0
         model = fit_nnpu(x, kind, weight, **settings)
     return model
 
