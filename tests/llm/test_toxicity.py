@@ -99,6 +99,31 @@ def test_sure_passages_join_until_none_is_left(monkeypatch):
     assert far(rounds=1)[0] < 0
 
 
+def test_context_counts_other_passages_only():
+    model = T.Model(np.zeros(T.DIM), 0.0)
+    for word, at in (("zorg", 9.0), ("gray", 1.0)):
+        model.weights[T.word_codes(word)[0] & (T.DIM - 1)] = at
+    docs = [["zorg", "gray", "far"], ["zorg", "zorg", "zorg zorg"], ["zorg", "zorg"], ["gray"], []]
+    batch = pa.RecordBatch.from_arrays([pa.array(docs, pa.list_(pa.string()))], names=[T.PASSAGES])
+    got = next(T._hard(model, 0.1)(iter([batch]))).to_pylist()
+    assert [(r["passage"], r["beside"]) for r in got] == [("zorg", False), ("gray", True), ("zorg", True), ("zorg", True), ("zorg zorg", True), ("zorg", False), ("zorg", False), ("gray", False)]
+    assert T._context([("zorg", 3, 0), ("gray", 2, 1)], np.array([True, False])) is None
+    plus, minus = T._context([("zorg", 4, 2), ("gray", 2, 1), ("far", 1, 0)], np.array([True, False, False]))
+    assert plus[0] == plus[1] > plus[2] == 0 == minus[0] < minus[1] < minus[2]
+
+
+def test_wordings_the_reviews_lack_are_learned_from_their_context(spark):
+    reviews = spark.createDataFrame([(f"shut up you nasty zorg {i}", 1) for i in range(30)] + [("the garden is open", 0)], "text string, offending int")
+    names = [a + b for a in ("bel", "dor", "fen", "gar", "kel") for b in ("mar", "tam", "vo", "zan")]
+    plain = [f"the {a} near {b} was painted" for a in ("garden", "meadow", "tower", "cellar") for b in names] * 8
+    bad = [f"Shut up you nasty zorg {a}. You nasty glimmer shut {a}." for a in names[:12]] + [f"Shut up you nasty zorg {a}. You nasty zorg shut up {a}." for a in names[12:]]
+    held, fine = [f"you nasty glimmer shut {a}" for a in names[12:]], [f"you nasty winter shut {a}" for a in names]
+    parts = T.prepared(spark.createDataFrame([(i, "s", t) for i, t in enumerate(plain + bad + held + fine)], "doc_id bigint, source string, text string"))
+    s = T.train(parts, reviews).scorer()
+    # held stand alone; both wordings share the same words with the reviews
+    assert s(held).min() > s(fine).max() + 1.0
+
+
 @pytest.fixture(scope="module")
 def reviews(spark):
     if not os.path.exists(REVIEWS):

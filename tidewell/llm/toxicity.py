@@ -8,6 +8,12 @@ a supervised term of half the weight. A positive text may hold clean passages to
 on only its passages with the highest score stand for it. Passages of the corpus that the model is sure of
 join the positives, round by round until no more do.
 
+Wordings that the reviews lack are learned from their context: pages that hold one offending passage often
+hold more. Among the passages that a first model can't dismiss, those that stand in a document beside another
+passage that it is sure of count as weak positives, those that don't as weak negatives. Where passages that the
+model is sure of stand alone, context says nothing and the term vanishes. Only fitting uses it; a passage is
+scored by its own words.
+
 The unlabelled risk is estimated over the whole corpus: a first model scores every passage, those it can't
 dismiss enter the fit with their counts, and an even sample stands for the rest (see ``train``).
 
@@ -46,7 +52,11 @@ ship(__name__)
 #: passage is scored by the first model, and beyond these bounds each row stands for more of them.
 EVEN_PASSAGES, HARD_PASSAGES = 60_000, 60_000
 #: Margins of the first model above which a passage can't be dismissed, and of later ones above which an unlabelled passage counts as positive.
-HARD, SURE = -1.5, 1.0
+HARD, SURE = -2.0, 1.0
+#: Weight of the context of the passages that can't be dismissed, if passages that the model is sure of always stand beside others, and how much more standing beside one weighs than not.
+CONTEXT, BESIDE = 0.25, 3.0
+#: Margin of the first model above which a passage vouches for those beside it; higher than ``SURE``, since that model still errs.
+VOUCHING = 2.0
 #: Bound of the reviewed texts that fitting reads.
 REVIEWS = 20_000
 DIM = 1 << 18
@@ -221,10 +231,11 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit_nnpu(x: Features, kind: np.ndarray, weight: np.ndarray, prior: float = PRIOR, clean_weight: float = CLEAN_WEIGHT, decay: float = DECAY, steps: int = STEPS, rate: float = RATE) -> Model:
+def fit_nnpu(x: Features, kind: np.ndarray, weight: np.ndarray, prior: float = PRIOR, clean_weight: float = CLEAN_WEIGHT, decay: float = DECAY, steps: int = STEPS, rate: float = RATE, context: np.ndarray | None = None) -> Model:
     """Full-batch Adam on the non-negative PU risk with the logistic loss; the model is the mean over the later half of the steps.
 
-    ``kind``: 1 positive, 0 unlabelled, -1 reviewed clean; ``weight``: weight of each row in its kind.
+    ``kind``: 1 positive, 0 unlabelled, -1 reviewed clean; ``weight``: weight of each row in its kind; ``context``: weights
+    in the risk of each row as a positive and as a negative one, beside its kind.
     """
     n = len(kind)
     share = np.zeros(n)
@@ -251,6 +262,8 @@ def fit_nnpu(x: Features, kind: np.ndarray, weight: np.ndarray, prior: float = P
             d[unl] = -share[unl] * s[unl]
         d[neg] = clean_weight * prior * share[neg] * s[neg]
         d[pos] += clean_weight * prior * share[pos] * (s[pos] - 1)
+        if context is not None:
+            d += context[0] * (s - 1) + context[1] * s
         gw = x.gradient(d) + decay * w
         gb = d.sum()
         m, v = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw * gw
@@ -263,9 +276,12 @@ def fit_nnpu(x: Features, kind: np.ndarray, weight: np.ndarray, prior: float = P
     return Model(mean / (steps - late + 1), float(mean_b / (steps - late + 1)))
 
 
-def fit(positive: Sequence[str], clean: Sequence[str], unlabelled: Sequence[tuple[list[str], float]], rounds: int = ROUNDS, most_rounds: int = MOST_ROUNDS, **settings: float) -> Model:
+def fit(positive: Sequence[str], clean: Sequence[str], unlabelled: Sequence[tuple[list[str], float]], rounds: int = ROUNDS, most_rounds: int = MOST_ROUNDS, context: np.ndarray | None = None, **settings: float) -> Model:
     """Fit from reviewed texts and from unlabelled passages with their weights.
 
+    ``context``: weights in the risk of each unlabelled passage as a positive and as a negative one. Passages with the
+    latter only never join the positives.
+
     From the second round on only the best passages of a positive text stand for it, and from the third on
     unlabelled passages above ``SURE`` count as positive. Rounds beyond the third follow as long as further
     passages join, since a wording that joins makes those akin to it sure. With ``rounds`` below 3 none join.
@@ -279,6 +295,11 @@ def fit(positive: Sequence[str], clean: Sequence[str], unlabelled: Sequence[tupl
     x = Features(inside + [p for p, _ in unlabelled] + good)
     kinds = np.repeat([1, 0, -1], [len(inside), len(unlabelled), len(good)])
     weights = np.concatenate([np.ones(len(inside)), np.array([n for _, n in unlabelled], float), np.ones(len(good))])
+    barred = np.zeros(len(kinds), bool)
+    around = None if context is None else np.concatenate([np.zeros((2, len(inside))), context, np.zeros((2, len(good)))], axis=1)
+    if around is not None:
+        barred = (around[0] == 0) & (around[1] > 0)
+        settings["context"] = around
     model = fit_nnpu(x, kinds, weights, **settings)
     joined = np.zeros(len(kinds), bool)
     for r in range(1, rounds if rounds < 3 else max(rounds, most_rounds)):
@@ -289,11 +310,13 @@ def fit(positive: Sequence[str], clean: Sequence[str], unlabelled: Sequence[tupl
         kind, weight = kinds.copy(), weights.copy()
         weight[: len(inside)] = (own >= best[bag] - 1e-9) | (own > 0)
         if r > 1:
-            sure = (kinds == 0) & (margin > SURE)
+            sure = (kinds == 0) & (margin > SURE) & ~barred
             if r >= rounds and not (sure & ~joined).any():
                 break
             joined |= sure
             kind[joined], weight[joined] = 1, 1.0
+            if around is not None:
+                settings["context"] = np.where(joined, 0.0, around)
         model = fit_nnpu(x, kind, weight, **settings)
     return model
 
@@ -318,24 +341,40 @@ def _rows_of(column: pa.Array) -> tuple[list[str], np.ndarray]:
 
 
 def _hard(model: Model, least: float):
-    """Passages whose margin exceeds a limit."""
+    """Passages whose margin exceeds a limit, and whether another passage that the model is sure of stands in the same document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         margins = model.scorer()
         for batch in batches:
-            texts, _ = _rows_of(batch.column(0))
-            above = margins(texts) > least
-            yield pa.RecordBatch.from_arrays([pa.array([t for t, x in zip(texts, above, strict=True) if x], pa.string())], names=["passage"])
+            texts, sizes = _rows_of(batch.column(0))
+            margin, doc = margins(texts), np.repeat(np.arange(len(sizes)), sizes)
+            sure: dict[int, set[str]] = {}
+            for i in np.flatnonzero(margin > VOUCHING):
+                sure.setdefault(doc[i], set()).add(texts[i])
+            above = np.flatnonzero(margin > least)
+            beside = [bool(len(sure.get(doc[i], ())) > (margin[i] > VOUCHING)) for i in above]
+            yield pa.RecordBatch.from_arrays([pa.array([texts[i] for i in above], pa.string()), pa.array(beside, pa.bool_())], names=["passage", "beside"])
 
     return run
 
 
-def _bounded(passages_: DataFrame, n: int, most: int) -> tuple[list[tuple[str, int]], float]:
-    """Different passages with their counts, an even part of about ``most`` by hash where ``n`` exceeds that, and the part taken."""
+def _bounded(passages_: DataFrame, n: int, most: int) -> tuple[list[tuple[str, int, int]], float]:
+    """Different passages with their counts, in all and beside a sure one, an even part of about ``most`` by hash where ``n`` exceeds that, and the part taken."""
     fine = 1 << 20
     part = min(fine, -(-fine * most // max(1, n)))
     some = passages_ if part == fine else passages_.filter(F.pmod(F.xxhash64("passage"), F.lit(fine)) < part)
-    return sorted((r.passage, r.n) for r in some.groupBy("passage").agg(F.sum("n").alias("n")).collect()), part / fine
+    return sorted((r.passage, r.n, r.beside) for r in some.groupBy("passage").agg(F.sum("n").alias("n"), F.sum("beside").alias("beside")).collect()), part / fine
+
+
+def _context(mined: Sequence[tuple[str, int, int]], sure: np.ndarray, each: np.ndarray | float = 1.0) -> np.ndarray | None:
+    """Weights in the risk of hard passages with their counts, that each stand for so many passages, as positive and as negative ones; none if passages that the model is sure of stand alone."""
+    n, beside = np.array([m[1:] for m in mined], float).reshape(-1, 2).T
+    if not beside[sure].sum():
+        return None
+    together = beside[sure].sum() / n[sure].sum()
+    # a text that many documents hold is boilerplate sooner than offending
+    shares = np.stack([beside / n, np.where(sure, 0.0, (1 - beside / n) * np.sqrt(n))]) * each
+    return CONTEXT * together / shares.sum() * np.array([[BESIDE], [1.0]]) * shares
 
 
 def train(parts: DataFrame, reviews: DataFrame, max_reviews: int = REVIEWS, max_even: int = EVEN_PASSAGES, max_hard: int = HARD_PASSAGES) -> Model:
@@ -344,21 +383,30 @@ def train(parts: DataFrame, reviews: DataFrame, max_reviews: int = REVIEWS, max_
     A first model from the reviews and an even sample scores every passage of the corpus. The passages it
     can't dismiss (margin above ``HARD``) are counted over the whole corpus and all of them enter the fit, or an
     even part of about ``max_hard`` different ones; the others, nearly all, are represented by the even
-    sample. Each row weighs as many passages of the corpus as it stands for.
+    sample. Each row weighs as many passages of the corpus as it stands for. The former also have the weights of
+    their context, by the share of their occurrences beside another passage that the first model is sure of.
     """
     judged = reviews.filter("text is not null and offending is not null").select("text", "offending")
     judged = judged.orderBy(F.xxhash64("text"), "text", "offending").limit(max_reviews).collect()
     positive, clean = [r.text for r in judged if r.offending], [r.text for r in judged if not r.offending]
     n = parts.agg(F.sum(F.size(PASSAGES))).first()[0] or 0
-    even, share = _bounded(parts.select(F.explode(PASSAGES).alias("passage"), F.lit(1).alias("n")), n, max_even)
-    even_rows = [(t.split(" "), c) for t, c in even]
+    even, share = _bounded(parts.select(F.explode(PASSAGES).alias("passage"), F.lit(1).alias("n"), F.lit(0).alias("beside")), n, max_even)
+    even_rows = [(t.split(" "), c) for t, c, _ in even]
     first = fit(positive, clean, even_rows, rounds=1)
-    hard = parts.select(PASSAGES).mapInArrow(_hard(first, HARD), "passage string").groupBy("passage").agg(F.count("*").alias("n"))
+    hard = parts.select(PASSAGES).mapInArrow(_hard(first, HARD), "passage string, beside boolean").groupBy("passage").agg(F.count("*").alias("n"), F.sum(F.col("beside").cast("bigint")).alias("beside"))
     hard = materialize(hard)
+    # the most frequent ones always enter: left to chance, one of them may weigh too much or not at all
+    top = [(r.passage, r.n, r.beside) for r in hard.orderBy(F.desc("n"), "passage").limit(max_hard // 10).collect()]
+    frequent = {t for t, *_ in top}
     mined, part = _bounded(hard, hard.count(), max_hard)
-    easy = first.scorer()([t for t, _ in even]) <= HARD
-    rows = [(p, c / share) for (p, c), e in zip(even_rows, easy, strict=True) if e] + [(t.split(" "), c / part) for t, c in mined]
-    return fit(positive, clean, rows)
+    mined = top + [m for m in mined if m[0] not in frequent]
+    each = np.where(np.arange(len(mined)) < len(top), 1.0, 1.0 / part)
+    easy = first.scorer()([t for t, *_ in even]) <= HARD
+    rest = [(p, c / share) for (p, c), e in zip(even_rows, easy, strict=True) if e]
+    context = _context(mined, first.scorer()([t for t, *_ in mined]) > VOUCHING, each)
+    if context is not None:
+        context = np.concatenate([np.zeros((2, len(rest))), context], axis=1)
+    return fit(positive, clean, rest + [(t.split(" "), c * e) for (t, c, _), e in zip(mined, each, strict=True)], context=context)
 
 
 def _score_lists(model: Model):
